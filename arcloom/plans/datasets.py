@@ -58,15 +58,15 @@ def requested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pattern per customer, over all masks but all-ANY.
+def patterns(spark: SparkSession, sf_dir: str, with_any: bool = False) -> DataFrame:
+    """One pattern per customer over all masks, all-ANY among them if asked.
 
     Customer ``c`` takes its values from link ``c + 1``. Two nations in five ask
     for a target that no link has.
     """
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     joined = c.join(links(spark, sf_dir), F.col("id") == F.col("c_custkey") + 1)
-    mask = F.col("c_custkey") % 7 + 1
+    mask = F.col("c_custkey") % 8 if with_any else F.col("c_custkey") % 7 + 1
 
     def bound(bit: int, value):
         return F.when(mask.bitwiseAND(bit) != 0, value)
@@ -82,13 +82,17 @@ def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a command on its user's link."""
+    return as_commands(table(spark, sf_dir, "events"))
+
+
+def as_commands(events: DataFrame) -> DataFrame:
     op = (
         F.when(F.col("event_type") == "signup", CREATE)
         .when(F.col("event_type") == "error", DELETE)
         .otherwise(UPDATE)
     )
     updating = op == UPDATE
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         op.alias("op"),
         (F.col("user_id") + 1).alias("id"),

@@ -32,7 +32,8 @@ COPIES = {
     "by_target": ["target", "source", "id"],
 }
 
-VERSIONS = "version bigint, n_links bigint, next_id bigint, copies array<string>"
+# ``label`` is free for the publisher, e.g. the last stream batch a version covers.
+VERSIONS = "version bigint, n_links bigint, next_id bigint, copies array<string>, label bigint"
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,7 @@ class Version:
     n_links: int
     next_id: int
     copies: tuple[str, ...]
+    label: int | None = None
 
 
 def choose_copy(pattern: Pattern, available: tuple[str, ...] = tuple(COPIES)) -> str:
@@ -97,7 +99,7 @@ class LinkStore:
         if version is not None:
             rows = rows.where(F.col("version") == version)
         row = rows.orderBy(F.desc("version")).first()
-        return row and Version(row.version, row.n_links, row.next_id, tuple(row.copies))
+        return row and Version(row.version, row.n_links, row.next_id, tuple(row.copies), row.label)
 
     def _require(self, version: int | None) -> Version:
         found = self.version(version)
@@ -111,6 +113,7 @@ class LinkStore:
         copies: tuple[str, ...] = tuple(COPIES),
         partitions: int | None = None,
         next_id: int | None = None,
+        label: int | None = None,
     ) -> Version:
         """Write ``links`` as the next version and make it visible.
 
@@ -130,9 +133,9 @@ class LinkStore:
         if next_id is None:
             next_id = max(top + 1, last.next_id if last else 1)
         held = tuple(dict.fromkeys(("by_id", *copies)))
-        row = self.spark.createDataFrame([(number, n, next_id, list(held))], VERSIONS)
+        row = self.spark.createDataFrame([(number, n, next_id, list(held), label)], VERSIONS)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
-        return Version(number, n, next_id, held)
+        return Version(number, n, next_id, held, label)
 
     def read(self, version: int | None = None, copy: str = "by_id") -> DataFrame:
         """All links of a version."""
