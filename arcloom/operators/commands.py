@@ -60,7 +60,7 @@ def hot_ids(commands: DataFrame, hot_rows: int = HOT_ROWS, chunk_width: int | No
     per_id = commands.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")
     )
-    total = per_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
+    total = commands.agg(F.count(F.lit(1)).alias("total")).scalar()
     span = F.col("hi").cast("double") - F.col("lo").cast("double") + 1
     width = (
         F.lit(chunk_width)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from re import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the log format.
@@ -60,12 +60,19 @@ def parse_lines(
     and non-transaction.
     """
     figure = FIGURE.format(remote=escape(families.remote), local=escape(families.local))
-    hits = lines.where(F.col("line").rlike(figure)).select(
-        *order, F.posexplode(F.regexp_extract_all("line", F.lit(figure), F.lit(0))).alias("pos", "hit")
+    # One search per line, one split per hit; the words hold no blanks.
+    words = F.split(F.regexp_replace("hit", figure, "$1 $2 $3 $4 $5"), " ")
+    hits = (
+        lines.where(F.col("line").contains("ns/iter"))
+        .select(
+            *order,
+            F.posexplode(F.regexp_extract_all("line", F.lit(figure), F.lit(0))).alias("pos", "hit"),
+        )
+        .select(*order, "pos", words.alias("words"))
     )
 
-    def part(n: int):
-        return F.regexp_extract("hit", figure, n)
+    def part(n: int) -> Column:
+        return F.get("words", F.lit(n - 1))
 
     mode = part(3)
     layout, storage = (F.regexp_extract(mode, r"^(\w+)_(\w+)$", n) for n in (1, 2))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from arcloom.schema import (
@@ -15,7 +16,6 @@ from arcloom.schema import (
     CREATE_EMPTY,
     DELETE,
     LATE,
-    LINK_COLUMNS,
     LOAD,
     MIN_LONG,
     NOT_EXISTS,
@@ -40,42 +40,52 @@ def stream_outcomes(commands: DataFrame) -> DataFrame:
     backlog with hot ids is better folded as a batch first, and the stream
     started from its result.
     """
+    # Endpoints are completed here: a NULL would turn the pandas column into floats.
+    ends = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("source", "target")]
     return (
-        commands.select("seq", "op", *LINK_COLUMNS)
+        commands.select("seq", "op", "id", *ends)
         .groupBy("id")
-        .applyInPandasWithState(_advance, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(
+            _state_function(), OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout
+        )
     )
 
 
-def _advance(
-    key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    (link_id,) = key
-    alive, source, target, last = state.get if state.exists else (False, 0, 0, MIN_LONG)
-    arrived = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    ends = arrived[["source", "target"]].astype("Int64").fillna(0).astype("int64")
-    out = []
-    for seq, op, s, t in zip(arrived["seq"], arrived["op"], ends["source"], ends["target"]):
-        before, after = (0, 0), (0, 0)
-        if seq < last or (seq == last and last != MIN_LONG):
-            status = LATE
-        elif op in (CREATE, CREATE_EMPTY, LOAD):
-            status = ALREADY_EXISTS if alive else APPLIED
-            if not alive:
-                alive = True
-                after = {CREATE: (link_id, link_id), CREATE_EMPTY: (0, 0), LOAD: (s, t)}[op]
-        elif op in (UPDATE, DELETE):
-            status = APPLIED if alive else NOT_EXISTS
-            if alive:
-                before = (source, target)
-                alive = op == UPDATE
-                after = (s, t) if alive else (0, 0)
-        else:
-            status = UNKNOWN_OP
-        if status == APPLIED:
-            source, target = after
-        if status != LATE:
-            last = seq
-        out.append((seq, link_id, op, status, *before, *after))
-    state.update((bool(alive), int(source), int(target), int(last)))
-    yield pd.DataFrame(out, columns=OUTCOME.names)
+def _state_function():
+    # A local function travels to the executors by value, so they need pandas and
+    # nothing of this package.
+    columns = OUTCOME.names
+
+    def advance(
+        key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        (link_id,) = key
+        alive, source, target, last = state.get if state.exists else (False, 0, 0, MIN_LONG)
+        arrived = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        out = []
+        for seq, op, s, t in zip(*(arrived[c].tolist() for c in ("seq", "op", "source", "target"))):
+            before, after = (0, 0), (0, 0)
+            if seq < last or (seq == last and last != MIN_LONG):
+                status = LATE
+            elif op in (CREATE, CREATE_EMPTY, LOAD):
+                status = ALREADY_EXISTS if alive else APPLIED
+                if not alive:
+                    alive = True
+                    after = {CREATE: (link_id, link_id), CREATE_EMPTY: (0, 0), LOAD: (s, t)}[op]
+            elif op in (UPDATE, DELETE):
+                status = APPLIED if alive else NOT_EXISTS
+                if alive:
+                    before = (source, target)
+                    alive = op == UPDATE
+                    after = (s, t) if alive else (0, 0)
+            else:
+                status = UNKNOWN_OP
+            if status == APPLIED:
+                source, target = after
+            if status != LATE:
+                last = seq
+            out.append((seq, link_id, op, status, *before, *after))
+        state.update((alive, source, target, last))
+        yield pd.DataFrame(out, columns=columns)
+
+    return advance
