@@ -42,10 +42,15 @@ def parse_documents(documents: DataFrame) -> DataFrame:
         F.from_json(body, RESPONSE, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"),
     )
     errors = F.coalesce("d.errors", F.array().cast("array<struct<code:string,message:string>>"))
+
+    def broken(result: Column) -> Column:
+        rowless = F.exists(result["data"], lambda d: d["row"].isNull())
+        return result.isNull() | F.coalesce(rowless, F.lit(False))  # no data means no rows
+
     whole = (
         F.col("d._corrupt_record").isNull()
         & F.col("d.results").isNotNull()
-        & ~F.exists("d.results", lambda r: r.isNull() | F.exists(r["data"], lambda d: d["row"].isNull()))
+        & ~F.exists("d.results", broken)
         & ~F.exists(errors, lambda e: e["code"].isNull() | e["message"].isNull())
     )
     status = (

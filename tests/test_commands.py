@@ -60,13 +60,14 @@ def test_fold_equals_the_loop(spark, seed, split):
     log = random_log(seed)
     fates, table = replay(log)
     commands = spark.createDataFrame(log, COMMAND).repartition(5)
-    got = cmd.outcomes(commands, **split)
+    got = cmd.outcomes(commands, **split).persist()
     assert rows(got) == fates
     assert rows(cmd.latest_links(got)) == table
     feed = [(f[0], f[1], f[2], *f[4:]) for f in fates if f[3] == "applied"]
     assert rows(cmd.change_feed(got)) == feed
     assert cmd.change_feed(got).columns == FEED_COLUMNS
     assert rows(cmd.rejects(got)) == [f[:4] for f in fates if f[3] != "applied"]
+    got.unpersist()
 
 
 @pytest.mark.parametrize("split", SPLITS, ids=str)
