@@ -9,17 +9,20 @@ Both things the chain carries are "the last one before me" scans:
 * its endpoints: the last value that an applied create or update stored. Stale
   values are never seen, since an applied create follows every delete.
 
-**Hot ids.** One id may hold a third of the log, and a window per id would put
-that in one task. So the history of a hot id is cut into chunks of consecutive
-``seq`` and the scans run per ``(id, chunk)``. What a chunk inherits comes from
-a summary of one row per chunk: its last create or delete, and the last value it
-stores if the id is absent on entry and if it is present on entry (only the
-chunk's first create can tell the two apart). Prefix scans over these summaries
-give each chunk its entry state, which is joined back on ``(id, chunk)``.
-
-``seq`` is unique, so a chunk of width ``w`` has at most ``w`` rows, and an id
-whose commands span ``s`` has at most ``s / w`` chunks. With ``w`` at about the
-root of ``s`` both levels stay small however the log is skewed.
+A group of commands is scanned without knowing whether its id exists when the
+group starts: both cases are kept side by side (``s0, t0`` if absent, ``s1, t1``
+if present; only the first create of the group can tell them apart) and the case
+is chosen later. That serves two ends:
+
+* **A base table** is joined on after the scan, on the ids the log touches. Its
+  rows never enter the sort, and the effect of a log on a table is one join.
+* **Hot ids.** One id may hold a third of the log, and a window per id would put
+  that in one task. So the history of a hot id is cut into chunks of consecutive
+  ``seq`` that are scanned apart. A chunk is summed up in one row, prefix scans
+  over these rows give every chunk its starting state, and that is joined back.
+  ``seq`` is unique, so a chunk of width ``w`` has at most ``w`` rows, and a log
+  that spans ``s`` has at most ``s / w`` chunks per id. With ``w`` at about the
+  root of ``s`` both levels stay small however the log is skewed.
 """
 
 from __future__ import annotations
@@ -37,7 +40,6 @@ from arcloom.schema import (
     FEED_COLUMNS,
     LINK_COLUMNS,
     LOAD,
-    MIN_LONG,
     NOT_EXISTS,
     UNKNOWN_OP,
     UPDATE,
@@ -47,29 +49,40 @@ from arcloom.schema import (
 HOT_ROWS = 1_000_000
 # At most this many ids are treated as hot, which bounds their broadcast table.
 HOT_IDS = 100_000
+# Enough that a bucket of ordinary ids stays well within one part in HOT_IDS.
+HASH_BUCKETS = 1 << 18
 
 BIRTHS = (CREATE, CREATE_EMPTY, LOAD)
+COMMAND_COLUMNS = ["seq", "op", *LINK_COLUMNS]
+ABSENT, PRESENT = 0, 1
+# What an id's commands do to it: its last create or delete, and what it holds
+# afterwards if it was absent before (s0, t0) or present (s1, t1; NULL = unchanged).
+EFFECT = ["life", "s0", "t0", "s1", "t1"]
 
 
 def hot_ids(commands: DataFrame, hot_rows: int = HOT_ROWS, chunk_width: int | None = None) -> DataFrame:
-    """Ids with more than ``hot_rows`` commands, and the chunk width for each.
+    """Ids with more than ``hot_rows`` commands, and the width of their chunks.
 
     The limit grows with the log to one part in ``HOT_IDS`` of it, so no more than
-    ``HOT_IDS`` ids can pass and the result is safe to broadcast.
+    ``HOT_IDS`` ids can pass and the result is safe to broadcast. Ids are first
+    counted together in hash buckets: a bucket within the limit holds no hot id,
+    so only the ids of the few buckets beyond it are counted one by one.
     """
-    per_id = commands.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")
-    )
-    total = commands.agg(F.count(F.lit(1)).alias("total")).scalar()
-    span = F.col("hi").cast("double") - F.col("lo").cast("double") + 1
-    width = (
-        F.lit(chunk_width)
-        if chunk_width
-        else F.greatest(F.lit(hot_rows), F.ceil(F.sqrt(span)).cast("bigint"))
+    span = F.max("seq").cast("double") - F.min("seq").cast("double") + 1
+    width = F.greatest(F.lit(hot_rows), F.ceil(F.sqrt(span))) if chunk_width is None else F.lit(chunk_width)
+    log = commands.agg(
+        F.struct(F.count(F.lit(1)).alias("rows"), width.cast("bigint").alias("width")).alias("log")
+    ).scalar()
+    beyond = F.col("n") > F.greatest(F.lit(hot_rows), F.floor(log["rows"] / HOT_IDS))
+    ids = commands.select("id", F.pmod(F.xxhash64("id"), F.lit(HASH_BUCKETS)).alias("bucket"))
+    heavy = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(beyond).select("bucket")
+    return (
+        ids.join(F.broadcast(heavy), "bucket", "left_semi")  # at most HOT_IDS buckets
+        .groupBy("id")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(beyond)
+        .select("id", log["width"].alias("width"))
     )
-    return per_id.where(
-        (F.col("n") > hot_rows) & (F.col("n") > F.floor(total / HOT_IDS))
-    ).select("id", width.cast("bigint").alias("width"))
 
 
 def _last_before(value: Column, keys: list[str], order: str) -> Column:
@@ -77,46 +90,114 @@ def _last_before(value: Column, keys: list[str], order: str) -> Column:
     return F.last(value, ignorenulls=True).over(frame)
 
 
-def _life() -> Column:
-    """1 once the id exists after this command, 0 once it does not, else NULL."""
-    return F.when(F.col("op").isin(*BIRTHS), 1).when(F.col("op") == DELETE, 0)
-
-
-def _stored(exists: Column) -> tuple[Column, Column]:
-    """The endpoints this command stores given existence before it; NULLs if none."""
-    born = F.col("op").isin(*BIRTHS) & (exists == 0)
-    kept = ((F.col("op") == UPDATE) & (exists == 1)) | (born & (F.col("op") == LOAD))
+def _stored(existed: Column) -> tuple[Column, Column]:
+    """The endpoints a command stores given existence before it; NULLs if none."""
+    op = F.col("op")
+    born = op.isin(*BIRTHS) & (existed == ABSENT)
+    given = ((op == UPDATE) & (existed == PRESENT)) | (born & (op == LOAD))
 
     def endpoint(name: str) -> Column:
         return (
-            F.when(kept, F.coalesce(F.col(name), F.lit(0)))
-            .when(born & (F.col("op") == CREATE), F.col("id"))
-            .when(born & (F.col("op") == CREATE_EMPTY), F.lit(0))
+            F.when(given, F.coalesce(F.col(name), F.lit(0)))
+            .when(born & (op == CREATE), F.col("id"))
+            .when(born & (op == CREATE_EMPTY), F.lit(0))
         )
 
     return endpoint("source"), endpoint("target")
 
 
-def _status(exists: Column) -> Column:
+def _status(existed: Column) -> Column:
     op = F.col("op")
     return (
-        F.when(op.isin(*BIRTHS) & (exists == 1), ALREADY_EXISTS)
-        .when(op.isin(UPDATE, DELETE) & (exists == 0), NOT_EXISTS)
+        F.when(op.isin(*BIRTHS) & (existed == PRESENT), ALREADY_EXISTS)
+        .when(op.isin(UPDATE, DELETE) & (existed == ABSENT), NOT_EXISTS)
         .when(op.isin(*BIRTHS, UPDATE, DELETE), APPLIED)
         .otherwise(UNKNOWN_OP)
     )
 
 
-def with_base(commands: DataFrame, base: DataFrame, small: bool | None = None) -> DataFrame:
-    """``commands`` preceded by a LOAD row for each base link they touch.
+def _scan(commands: DataFrame, keys: list[str]) -> DataFrame:
+    """Commands with ``life``, ``seen`` (existence before, as far as the group
+    tells) and what each stores if its group started absent or present."""
+    life = F.when(F.col("op").isin(*BIRTHS), PRESENT).when(F.col("op") == DELETE, ABSENT)
+    scanned = commands.withColumn("life", life).withColumn(
+        "seen", _last_before(F.col("life"), keys, "seq")
+    )
+    for start in (ABSENT, PRESENT):
+        s, t = _stored(F.coalesce("seen", F.lit(start)))
+        scanned = scanned.withColumns({f"s{start}": s, f"t{start}": t})
+    return scanned
+
+
+def _sum_up(scanned: DataFrame, keys: list[str]) -> DataFrame:
+    """The effect of each group, one row per group."""
+    return scanned.groupBy(*keys).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in EFFECT]
+    )
 
-    Few touched ids (checked) are broadcast, so the base is scanned and not shuffled.
-    """
-    touched = commands.select("id").distinct()
-    loads = base.join(sized(touched, is_small(touched, small)), "id", "left_semi").select(
-        F.lit(MIN_LONG).alias("seq"), F.lit(LOAD).alias("op"), *LINK_COLUMNS
+
+def _outcomes(
+    scanned: DataFrame, keys: list[str], start: DataFrame | None, on: list[str]
+) -> DataFrame:
+    """Statuses and images, once ``start`` (``existed, was_s, was_t``) is known."""
+    before = scanned.withColumns(
+        {f"b{c}": _last_before(F.col(c), keys, "seq") for c in ("s0", "t0", "s1", "t1")}
+    )
+    if start is None:
+        zero = F.lit(0)
+        started, held = F.lit(ABSENT), {"s": zero, "t": zero}
+    else:
+        before = before.join(start, on, "left")
+        started = F.coalesce("existed", F.lit(ABSENT))
+        held = {"s": F.coalesce("was_s", F.lit(0)), "t": F.coalesce("was_t", F.lit(0))}
+
+    def chosen(name: str) -> Column:
+        return F.when(started == PRESENT, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+
+    status = _status(F.coalesce(F.col("seen"), started))
+    applied = status == APPLIED
+    had = applied & F.col("op").isin(UPDATE, DELETE)
+    has = applied & (F.col("op") != DELETE)
+
+    def image(shown: Column, value: Column, name: str) -> Column:
+        return F.when(shown, value).otherwise(F.lit(0)).cast("bigint").alias(name)
+
+    return before.select(
+        "seq",
+        "id",
+        "op",
+        status.alias("status"),
+        image(had, F.coalesce(chosen("bs"), held["s"]), "before_source"),
+        image(had, F.coalesce(chosen("bt"), held["t"]), "before_target"),
+        image(has, chosen("s"), "after_source"),
+        image(has, chosen("t"), "after_target"),
+    )
+
+
+def _chunked(commands: DataFrame, hot: DataFrame) -> DataFrame:
+    """The commands of hot ids with the chunk each is in."""
+    return commands.join(hot, "id").withColumn("chunk", F.expr("seq div width")).drop("width")
+
+
+def _chunk_starts(chunks: DataFrame, start: DataFrame | None) -> DataFrame:
+    """The state every chunk starts in, from the effects of the chunks before it."""
+    if start is None:
+        zero = F.lit(0).cast("bigint")
+        chunks = chunks.withColumns({"existed": F.lit(ABSENT), "was_s": zero, "was_t": zero})
+    else:
+        chunks = chunks.join(start, "id", "left")
+    existed = F.coalesce(
+        _last_before(F.col("life"), ["id"], "chunk"), F.col("existed"), F.lit(ABSENT)
+    )
+    chunks = chunks.withColumn("existed", existed)
+
+    def held(name: str) -> Column:
+        stored = F.when(F.col("existed") == PRESENT, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+        return F.coalesce(_last_before(stored, ["id"], "chunk"), F.col(f"was_{name}"))
+
+    return chunks.select(
+        "id", "chunk", "existed", held("s").alias("was_s"), held("t").alias("was_t")
     )
-    return commands.select("seq", "op", *LINK_COLUMNS).unionByName(loads)
 
 
 def outcomes(
@@ -128,95 +209,62 @@ def outcomes(
 ) -> DataFrame:
     """Every command with its ``status`` and images (zeros unless applied).
 
+    ``base`` is the table the log starts from. If the log touches few ids
+    (checked, or told by ``small``) only those of the base are picked, by a
+    broadcast semi-join; otherwise the base is shuffled once to meet the log.
     ``hot_rows=None`` promises that no id is hot: one window pass, one shuffle.
-    LOAD rows of ``base`` stay in; ``change_feed`` and ``rejects`` leave them out.
     """
-    rows = commands.select("seq", "op", *LINK_COLUMNS)
+    rows = commands.select(*COMMAND_COLUMNS)
+    start, few = None, False
     if base is not None:
-        rows = with_base(commands, base, small)
-    if hot_rows is None:
-        return _images(_scan(rows, ["id"]), F.lit(0), F.lit(None), F.lit(None))
-
-    hot = F.broadcast(hot_ids(commands, hot_rows, chunk_width))
-    chunk = F.expr("seq div width")
-    keys = ["id", "chunk"]
-
-    per_chunk = (
-        _scan(rows.join(hot, "id").withColumn("chunk", chunk), keys)
-        .groupBy(*keys)
-        .agg(
-            F.max_by("life", F.when(F.col("life").isNotNull(), F.col("seq"))).alias("life"),
-            *[
-                F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
-                for c in ("s0", "t0", "s1", "t1")
-            ],
+        touched = rows.select("id").distinct()
+        few = is_small(touched, small)
+        start = base.join(F.broadcast(touched), "id", "left_semi") if few else base
+        start = start.select(
+            "id", F.lit(PRESENT).alias("existed"), F.col("source").alias("was_s"), F.col("target").alias("was_t")
         )
-        .withColumn("e_exists", F.coalesce(_last_before(F.col("life"), ["id"], "chunk"), F.lit(0)))
-    )
-    present = F.col("e_exists") == 1
-    entry = per_chunk.select(
-        *keys,
-        "e_exists",
-        *[
-            _last_before(F.when(present, F.col(f"{c}1")).otherwise(F.col(f"{c}0")), ["id"], "chunk").alias(
-                f"e_{c}"
-            )
-            for c in ("s", "t")
-        ],
-    )
-    # Cold ids keep chunk NULL, which no entry row matches.
-    scanned = _scan(rows.join(hot, "id", "left").withColumn("chunk", chunk), keys)
-    return _images(
-        scanned.join(entry, keys, "left"),
-        F.coalesce("e_exists", F.lit(0)),
-        F.col("e_s"),
-        F.col("e_t"),
-    )
 
+    def plain(part: DataFrame) -> DataFrame:
+        return _outcomes(_scan(part, ["id"]), ["id"], start and sized(start, few), ["id"])
 
-def _scan(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The two scans within each group, for both states the id may enter it in.
+    if hot_rows is None:
+        return plain(rows)
+    hot = F.broadcast(hot_ids(rows, hot_rows, chunk_width))
+    keys = ["id", "chunk"]
+    scanned = _scan(_chunked(rows, hot), keys)
+    if start is not None:
+        start_of_hot = F.broadcast(start.join(hot, "id", "left_semi"))  # at most HOT_IDS
+    starts = _chunk_starts(_sum_up(scanned, keys), None if start is None else start_of_hot)
+    split = _outcomes(scanned, keys, starts, keys)
+    return plain(rows.join(hot, "id", "left_anti")).unionByName(split)
 
-    Adds ``life``; ``seen``, existence before the row as far as the group tells;
-    ``s0, t0`` / ``s1, t1``, what the row stores if the id enters absent /
-    present; and ``b*``, the last of these before the row.
-    """
-    scanned = rows.withColumn("life", _life()).withColumn(
-        "seen", _last_before(F.col("life"), keys, "seq")
-    )
-    for e in (0, 1):
-        s, t = _stored(F.coalesce("seen", F.lit(e)))
-        scanned = scanned.withColumns({f"s{e}": s, f"t{e}": t})
-    return scanned.withColumns(
-        {f"b{c}": _last_before(F.col(c), keys, "seq") for c in ("s0", "t0", "s1", "t1")}
-    )
 
+def log_effect(
+    commands: DataFrame, hot_rows: int | None = HOT_ROWS, chunk_width: int | None = None
+) -> DataFrame:
+    """What a log does to each id it touches, whatever table it is applied to.
 
-def _images(scanned: DataFrame, entered: Column, entry_s: Column, entry_t: Column) -> DataFrame:
-    """Statuses and images from the scans and the entry state of each group."""
-    exists = F.coalesce(F.col("seen"), entered)
-    with_state = scanned.withColumns(
-        {
-            "status": _status(exists),
-            "was_s": F.coalesce(F.when(entered == 1, F.col("bs1")).otherwise(F.col("bs0")), entry_s, F.lit(0)),
-            "was_t": F.coalesce(F.when(entered == 1, F.col("bt1")).otherwise(F.col("bt0")), entry_t, F.lit(0)),
-            "now_s": F.when(entered == 1, F.col("s1")).otherwise(F.col("s0")),
-            "now_t": F.when(entered == 1, F.col("t1")).otherwise(F.col("t0")),
-        }
-    )
-    applied = F.col("status") == APPLIED
-    had = applied & F.col("op").isin(UPDATE, DELETE)
-    has = applied & (F.col("op") != DELETE)
-    return with_state.select(
-        "seq",
-        "id",
-        "op",
-        "status",
-        F.when(had, F.col("was_s")).otherwise(0).cast("bigint").alias("before_source"),
-        F.when(had, F.col("was_t")).otherwise(0).cast("bigint").alias("before_target"),
-        F.when(has, F.col("now_s")).otherwise(0).cast("bigint").alias("after_source"),
-        F.when(has, F.col("now_t")).otherwise(0).cast("bigint").alias("after_target"),
+    One row ``(id, life, s0, t0, s1, t1)`` per id, see ``EFFECT``.
+    """
+    rows = commands.select(*COMMAND_COLUMNS)
+    if hot_rows is None:
+        return _sum_up(_scan(rows, ["id"]), ["id"])
+    hot = F.broadcast(hot_ids(rows, hot_rows, chunk_width))
+    keys = ["id", "chunk"]
+    chunks = _sum_up(_scan(_chunked(rows, hot), keys), keys)
+    earlier = _last_before(F.col("life"), ["id"], "chunk")
+    chunks = chunks.withColumn("earlier", earlier)
+    for start in (ABSENT, PRESENT):
+        existed = F.coalesce("earlier", F.lit(start)) == PRESENT
+        chunks = chunks.withColumns(
+            {f"{c}_{start}": F.when(existed, F.col(f"{c}1")).otherwise(F.col(f"{c}0")) for c in "st"}
+        )
+    sums = {"life": "life", "s0": "s_0", "t0": "t_0", "s1": "s_1", "t1": "t_1"}
+    of_hot = chunks.groupBy("id").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("chunk"))).alias(n) for n, c in sums.items()]
     )
+    cold = rows.join(hot, "id", "left_anti")
+    return _sum_up(_scan(cold, ["id"]), ["id"]).unionByName(of_hot)
 
 
 def change_feed(fates: DataFrame) -> DataFrame:
@@ -255,17 +303,36 @@ def current_links(
     commands: DataFrame,
     base: DataFrame | None = None,
     hot_rows: int | None = HOT_ROWS,
+    chunk_width: int | None = None,
     small: bool | None = None,
 ) -> DataFrame:
-    """The table after all commands. Base links no command touches pass through."""
+    """The table after all commands.
+
+    The effect of the log is summed up without the base, then joined to it once:
+    by broadcast if it touches few ids, else by a full outer join on ``id``.
+    """
+    effect = log_effect(commands, hot_rows, chunk_width)
+    made = effect.where(F.col("life") == PRESENT).select(
+        "id", F.col("s0").alias("source"), F.col("t0").alias("target")
+    )
     if base is None:
-        return latest_links(outcomes(commands, hot_rows=hot_rows))
-    touched = commands.select("id").distinct()
-    few = is_small(touched, small)
-    after = latest_links(outcomes(commands, base, hot_rows, small=few))
-    touched = sized(touched, few)
-    untouched = base.join(touched, "id", "left_anti").select(*LINK_COLUMNS)
-    return untouched.unionByName(after)
+        return made
+    survives = F.col("life").isNull() | (F.col("life") == PRESENT)
+    if is_small(commands.select("id").distinct(), small):
+        kept = (
+            base.join(F.broadcast(effect), "id", "left")
+            .where(survives)
+            .select("id", F.coalesce("s1", "source").alias("source"), F.coalesce("t1", "target").alias("target"))
+        )
+        held = base.join(F.broadcast(made.select("id")), "id", "left_semi")
+        return kept.unionByName(made.join(held, "id", "left_anti"))
+    in_base = F.col("source").isNotNull()
+    joined = base.select(*LINK_COLUMNS).join(effect, "id", "full")
+    return joined.where((in_base & survives) | (F.col("life") == PRESENT)).select(
+        "id",
+        F.when(in_base, F.coalesce("s1", "source")).otherwise(F.col("s0")).alias("source"),
+        F.when(in_base, F.coalesce("t1", "target")).otherwise(F.col("t0")).alias("target"),
+    )
 
 
 def status_counts(fates: DataFrame) -> DataFrame:
