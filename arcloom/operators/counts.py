@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.functions.patterns import Pattern, predicate
@@ -13,6 +15,7 @@ from arcloom.operators.reads import (
     BY_SOURCE,
     BY_TARGET,
     KEY,
+    by_way,
     keyed_links,
     keyed_patterns,
     residual,
@@ -48,49 +51,48 @@ def pair_multiplicity(links: DataFrame) -> DataFrame:
 def count_patterns(links: DataFrame, patterns: DataFrame, small: bool | None = None) -> DataFrame:
     """``(pid, n)`` for every pattern, zeros kept.
 
-    Matches are counted, never listed: a hub asked for by a million patterns is
-    counted once. Equal patterns are merged first.
+    Matches are counted, never listed, so a hub asked for by a million patterns
+    costs no more than one asked for once.
 
-    * Few patterns (checked): they are broadcast against one scan of the links
-      and the hits are summed map-side; the link table is never shuffled.
+    * Few patterns (checked): equal ones are merged and broadcast against one
+      scan of the links, and the hits are summed map-side; the link table is
+      never shuffled.
     * Many patterns: links are counted per key before the shuffle, so a hub is
-      one partial row per task, and the join is one row to one row.
+      one partial row per task, and each pattern picks up its key's count. Equal
+      patterns may crowd one key of the left side, which AQE can split.
 
     An all-ANY pattern takes the table's total from a scalar subquery.
     """
-    few = is_small(patterns, small)
+    total = count_links(links).scalar()
+    if not is_small(patterns, small):
+        return _count_many(links, keyed_patterns(patterns), total)
     distinct = keyed_patterns(patterns.select(*PATTERN_COLUMNS).distinct()).where(
         F.col("how") != BY_NOTHING
     )
-    if few:
-        found = (
-            keyed_links(links, [BY_ID, BY_PAIR, BY_SOURCE, BY_TARGET])
-            .join(F.broadcast(distinct), KEY)
-            .where(residual())
-            .groupBy(*PATTERN_COLUMNS)
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        found = F.broadcast(found)  # at most one row per pattern
-    else:
-        by_key = (
-            keyed_links(links, [BY_PAIR, BY_SOURCE, BY_TARGET])
-            .groupBy(*KEY)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .join(distinct.where(F.col("how") != BY_ID), KEY)
-            .select(*PATTERN_COLUMNS, "n")
-        )
-        by_id = (
-            links.join(distinct.where(F.col("how") == BY_ID), F.col("id") == F.col("p_id"))
-            .where(residual())
-            .groupBy(*PATTERN_COLUMNS)
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        found = by_key.unionByName(by_id)
-    p, c = patterns.alias("p"), found.alias("c")
+    found = (
+        keyed_links(links, [BY_ID, BY_PAIR, BY_SOURCE, BY_TARGET])
+        .join(F.broadcast(distinct), KEY)
+        .where(residual())
+        .groupBy(*PATTERN_COLUMNS)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    p, c = patterns.alias("p"), F.broadcast(found).alias("c")  # at most one row per pattern
     same = [F.col(f"p.{name}").eqNullSafe(F.col(f"c.{name}")) for name in PATTERN_COLUMNS]
     unbound = F.coalesce(*[F.col(f"p.{name}") for name in PATTERN_COLUMNS]).isNull()
-    total = count_links(links).scalar()
     return p.join(c, same, "left").select(
         F.col("p.pid").alias("pid"),
         F.when(unbound, total).otherwise(F.coalesce("c.n", F.lit(0))).alias("n"),
     )
+
+
+def _count_many(links: DataFrame, keyed: DataFrame, total: Column) -> DataFrame:
+    parts = [keyed.where(F.col("how") == BY_NOTHING).select("pid", total.alias("n"))]
+    per_key = {BY_PAIR: pair_multiplicity, BY_SOURCE: out_degree, BY_TARGET: in_degree}
+    for how, count in per_key.items():
+        asked, equal = by_way(keyed, how)
+        counted = asked.join(count(links), equal, "left")
+        parts.append(counted.select("pid", F.coalesce("n", F.lit(0)).alias("n")))
+    asked, equal = by_way(keyed, BY_ID)
+    hits = asked.join(links, [*equal, residual()], "left")
+    parts.append(hits.groupBy("pid").agg(F.count("id").alias("n")))
+    return reduce(DataFrame.unionByName, parts)

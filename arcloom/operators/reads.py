@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from arcloom.functions.patterns import Pattern, normalise, predicate
-from arcloom.operators.sizing import is_small, sized
-from arcloom.schema import LINK_COLUMNS, MAX_LONG
+from arcloom.operators.sizing import BROADCAST_ROWS, is_small
+from arcloom.schema import LINK_COLUMNS, MAX_LONG, PATTERN_COLUMNS
 
 # How a pattern finds its candidates: by the most selective bound positions.
 # An id names at most one link, so with an id bound the rest is a residual test.
@@ -122,35 +123,52 @@ def residual() -> Column:
     )
 
 
+def by_way(keyed: DataFrame, how: int) -> tuple[DataFrame, list[Column]]:
+    """The patterns of one way, and the equalities that join links to them."""
+    equal = {
+        BY_ID: ["id"],
+        BY_PAIR: ["source", "target"],
+        BY_SOURCE: ["source"],
+        BY_TARGET: ["target"],
+    }
+    return keyed.where(F.col("how") == how), [F.col(c) == F.col(f"p_{c}") for c in equal[how]]
+
+
 def match_patterns(
     links: DataFrame, patterns: DataFrame, allow_all: bool = False, small: bool | None = None
 ) -> DataFrame:
     """All ``(pid, id, source, target)`` with the link matching the pattern.
 
-    ``p IS NULL OR p = column`` can only run as a nested loop. Here every link
-    carries one equality key per way of being looked for and every pattern the
-    one key of its most selective way, so a single scan and a single hash
-    equi-join answer all masks. Few patterns (checked) are broadcast: no shuffle,
-    and a hub is spread over the scan tasks. Many patterns are joined by shuffle,
-    where AQE may split a hub's partition on either side.
+    ``p IS NULL OR p = column`` can only run as a nested loop. So every pattern is
+    looked up by its most selective bound positions, an equality.
+
+    * Few patterns (checked) are broadcast with one key each, and a single scan
+      probes each link once per way: no shuffle, and a hub is spread over the
+      scan tasks.
+    * Many patterns are joined by shuffle, one join per way, which keeps the
+      shuffled rows narrow and leaves AQE free to split a hub on either side.
 
-    A pattern with every position ANY pairs with the whole table. It fails the
-    query unless ``allow_all`` is set; it is never dropped silently.
+    A pattern with every position ANY pairs with the whole table. It is refused
+    unless ``allow_all`` is set, and is never dropped silently. Patterns like that
+    are broadcast; more of them than may be are refused in any case, as the answer
+    would be as many copies of the table.
     """
+    unbound = F.coalesce(*PATTERN_COLUMNS).isNull()
+    n, n_any = patterns.agg(F.count(F.lit(1)), F.count_if(unbound)).first()
+    if n_any > (BROADCAST_ROWS if allow_all else 0):
+        raise ValueError(f"{n_any} patterns match every link; see allow_all")
     keyed = keyed_patterns(patterns)
-    hows = [BY_ID, BY_PAIR, BY_SOURCE, BY_TARGET]
-    if allow_all:
-        hows.append(BY_NOTHING)
-    else:
-        refuse = F.raise_error(F.lit("a pattern with every position ANY needs allow_all=True"))
-        keyed = keyed.withColumn(
-            "how", F.when(F.col("how") == BY_NOTHING, refuse.cast("int")).otherwise(F.col("how"))
-        )
-    few = is_small(patterns, small)
-    return (
-        keyed_links(links, hows)
-        .join(sized(keyed, few), KEY)
-        .where(residual())
-        .select("pid", *LINK_COLUMNS)
-    )
 
+    def probed(ways: list[int]) -> DataFrame:
+        asked = F.broadcast(keyed.where(F.col("how").isin(ways)))
+        return keyed_links(links, ways).join(asked, KEY).where(residual())
+
+    ways = [BY_ID, BY_PAIR, BY_SOURCE, BY_TARGET]
+    few = n <= BROADCAST_ROWS if small is None else small
+    if few:
+        parts = [probed([*ways, BY_NOTHING] if n_any else ways)]
+    else:
+        parts = [links.join(*by_way(keyed, how)).where(residual()) for how in ways]
+        if n_any:
+            parts.append(probed([BY_NOTHING]))
+    return reduce(DataFrame.unionByName, [p.select("pid", *LINK_COLUMNS) for p in parts])
