@@ -363,14 +363,14 @@ def _command_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = (
         spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     )
-    return stream_outcomes(data.as_commands(stream))
+    return data.as_commands(stream)
 
 
 @query
 def stream_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "feed")
     (
-        cmd.change_feed(_command_stream(spark, sf_dir))
+        cmd.change_feed(stream_outcomes(_command_stream(spark, sf_dir)))
         .writeStream.option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start(f"{out}/feed")
@@ -384,6 +384,17 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "stream-links")
     sink = FeedSink(spark, out)
     sink.start(
-        _command_stream(spark, sf_dir), f"{out}/checkpoint", availableNow=True
+        stream_outcomes(_command_stream(spark, sf_dir)), f"{out}/checkpoint", availableNow=True
     ).awaitTermination()
     return sink.links()
+
+
+@query
+def stream_folded_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed of a stream whose micro-batches are folded on the table so far."""
+    out = scratch_path(spark, "stream-fold")
+    sink = FeedSink(spark, out)
+    sink.start_folding(
+        _command_stream(spark, sf_dir), f"{out}/checkpoint", availableNow=True
+    ).awaitTermination()
+    return cmd.change_feed(sink.feed())

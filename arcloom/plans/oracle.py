@@ -258,3 +258,4 @@ ORACLE = {
 ORACLE["match_patterns_shuffled"] = ORACLE["match_patterns"]
 ORACLE["count_patterns_shuffled"] = ORACLE["count_patterns"]
 ORACLE["change_feed_split"] = CHANGE_FEED
+ORACLE["stream_folded_feed"] = CHANGE_FEED

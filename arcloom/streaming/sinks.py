@@ -12,8 +12,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
-from arcloom.schema import APPLIED, DELETE, LINK, LINK_COLUMNS
+from arcloom.operators.commands import outcomes
+from arcloom.schema import APPLIED, DELETE, LINK, LINK_COLUMNS, OUTCOME
 from arcloom.sources.snapshots import LinkStore, Version
 
 DELTA = "id bigint, seq bigint, alive int, source bigint, target bigint, v bigint"
@@ -43,13 +45,38 @@ class FeedSink:
 
     def start(self, fates: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run a stream of outcomes into this sink."""
+        return self._start(fates, self.write_batch, checkpoint, trigger)
+
+    def start_folding(self, commands: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        """Run a stream of commands into this sink, see ``fold_batch``."""
+        return self._start(commands, self.fold_batch, checkpoint, trigger)
+
+    @staticmethod
+    def _start(stream: DataFrame, write, checkpoint: str, trigger: dict) -> StreamingQuery:
         return (
-            fates.writeStream.foreachBatch(self.write_batch)
+            stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)
             .trigger(**trigger)
             .start()
         )
 
+    def fold_batch(self, commands: DataFrame, batch_id: int) -> None:
+        """A ``foreachBatch`` function for *commands*, without per-id stream state.
+
+        The micro-batch is folded as a batch on the table below it, so a hot id is
+        cut into chunks there too. Outcomes go to ``feed/v=<batch>``. It reads the
+        table once per batch: meant for large, infrequent batches, where
+        ``stream_outcomes`` would hold too much of one id at a time. A repeated
+        batch starts from the same version again and rewrites its own output.
+        """
+        feed = f"{self.root}/feed/v={batch_id}"
+        outcomes(commands, self.links(batch_id - 1)).write.mode("overwrite").parquet(feed)
+        self.write_batch(self.spark.read.schema(OUTCOME).parquet(feed), batch_id)
+
+    def feed(self) -> DataFrame:
+        """All outcomes that ``fold_batch`` has written, with their batch ``v``."""
+        return self.spark.read.schema(StructType([*OUTCOME.fields, StructField("v", LongType())])).parquet(f"{self.root}/feed")
+
     def _deltas(self) -> DataFrame:
         try:
             return self.spark.read.schema(DELTA).parquet(f"{self.root}/delta")

@@ -3,10 +3,10 @@
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
-from test_commands import random_log, replay
+from test_commands import random_base, random_log, replay
 
 from arcloom.operators import commands as cmd
-from arcloom.schema import COMMAND
+from arcloom.schema import COMMAND, LINK
 from arcloom.session import scratch_path
 from arcloom.streaming.feed import stream_outcomes
 from arcloom.streaming.sinks import FeedSink
@@ -85,3 +85,17 @@ def test_large_numbers_and_missing_endpoints(spark):
     sink.start(fates, f"{root}/checkpoint", availableNow=True).awaitTermination()
     assert rows(sink.links()) == [(big, 0, big)]
     assert FeedSink(spark, f"{root}/new").links().count() == 0
+
+
+def test_folding_batches_equals_the_loop(spark):
+    """Three micro-batches on a base, the last one run twice."""
+    base = random_base(4)
+    log = random_log(21, n=240)
+    sink = FeedSink(spark, scratch_path(spark, "test-fold"))
+    sink.store.publish(spark.createDataFrame(base, LINK), copies=(), label=-1)
+    for batch, part in enumerate((log[:80], log[80:160], log[160:], log[160:])):
+        sink.fold_batch(spark.createDataFrame(part, COMMAND), min(batch, 2))
+    fates, table = replay(log, base)
+    assert rows(sink.feed().drop("v")) == fates
+    assert rows(sink.links()) == table
+    assert rows(sink.links(0)) == replay(log[:80], base)[1]
