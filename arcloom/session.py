@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_LOCAL_DIRS: dict[str, str] = {}
 
 # What the operators rely on. All but the last are Spark's own defaults, stated
 # so that a cluster profile which switched them off is noticed.
@@ -37,14 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
     A local session without one gets a folder of its own; on a cluster a missing
     setting is an error, since a machine-local folder would lose data there.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="arcloom-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="arcloom-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:

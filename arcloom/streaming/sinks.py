@@ -70,7 +70,9 @@ class FeedSink:
         batch starts from the same version again and rewrites its own output.
         """
         feed = f"{self.root}/feed/v={batch_id}"
+        commands.persist()  # the fold reads its micro-batch several times
         outcomes(commands, self.links(batch_id - 1)).write.mode("overwrite").parquet(feed)
+        commands.unpersist()
         self.write_batch(self.spark.read.schema(OUTCOME).parquet(feed), batch_id)
 
     def feed(self) -> DataFrame:

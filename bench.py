@@ -14,9 +14,13 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from arcloom.operators import reads, writes  # noqa: E402
 from arcloom.plans import datasets  # noqa: E402
 from arcloom.plans.catalog import QUERIES  # noqa: E402
-from arcloom.session import build_session  # noqa: E402
+from arcloom.session import build_session, scratch_path  # noqa: E402
+from arcloom.sources.snapshots import LinkStore  # noqa: E402
 
 HEADLINE = [
     "each_all",
@@ -46,8 +50,10 @@ HEADLINE = [
     "bench_speedup",
     "stream_change_feed",
     "stream_links",
+    "stream_folded_feed",
 ]
-SLOW = {"stream_change_feed", "stream_links"}
+# Runs once: each run sets up a stream of its own.
+ONCE = {"stream_change_feed", "stream_links", "stream_folded_feed"}
 
 
 def seconds(run) -> float:
@@ -56,6 +62,52 @@ def seconds(run) -> float:
     return time.perf_counter() - start
 
 
+def ns_per_link(spark, sf_dir: str, copies: int) -> dict[str, float]:
+    """The eight basic operations in bulk, per link handled or returned.
+
+    They run on the given links repeated ``copies`` times under new ids, so that
+    the figures show throughput and not the cost of starting a job.
+    """
+    repeat = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    many = (
+        datasets.links(spark, sf_dir)
+        .select("*", repeat.alias("i"))
+        .select(((F.col("id") - 1) * copies + F.col("i") + 1).alias("id"), "source", "target")
+        .repartition(spark.sparkContext.defaultParallelism * 2)
+    )
+    store = LinkStore(spark, scratch_path(spark, "bench"))
+    store.publish(many, copies=())
+    links = store.read()
+    n = links.count()
+    third = links.where(F.col("id") % 3 == 0)
+
+    def asked(*bound: str):
+        """One pattern per value (or pair of values) the links have."""
+        return links.select(*bound).distinct().select(
+            F.monotonically_increasing_id().alias("pid"),
+            *[
+                (F.col(c) if c in bound else F.lit(None).cast("bigint")).alias(f"p_{c}")
+                for c in ("id", "source", "target")
+            ],
+        )
+
+    runs = {
+        "create": (lambda: writes.create_points(links.select("id")), n),
+        "update": (lambda: writes.bulk_update(links, links.select("id", "target", F.col("id").alias("source"))), n),
+        "delete": (lambda: writes.bulk_delete(links, third), third.count()),
+        "each_all": (lambda: reads.each(links), n),
+        "each_identity": (lambda: reads.match_patterns(links, asked("id")), n),
+        "each_concrete": (lambda: reads.match_patterns(links, asked("source", "target")), n),
+        "each_outgoing": (lambda: reads.match_patterns(links, asked("source")), n),
+        "each_incoming": (lambda: reads.match_patterns(links, asked("target")), n),
+    }
+    out = {"links": n}
+    for name, (run, handled) in runs.items():
+        seconds(run)
+        out[name] = round(seconds(run) * 1e9 / handled, 1)
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -73,7 +125,7 @@ def main() -> None:
     times = {}
     for name in names.split(",") if names else HEADLINE:
         query = lambda: QUERIES[name](spark, sf_dir)  # noqa: B023, E731
-        if name in SLOW:
+        if name in ONCE:
             times[name] = round(seconds(query), 3)
         else:
             seconds(query)
@@ -83,6 +135,8 @@ def main() -> None:
         "pairs": datasets.pairs(spark, sf_dir).count(),
         "patterns": datasets.patterns(spark, sf_dir).count(),
     }
+    copies = int(os.environ.get("BENCH_COPIES", "50"))
+    per_link = ns_per_link(spark, sf_dir, copies) if copies else {}
     print(
         json.dumps(
             {
@@ -92,6 +146,7 @@ def main() -> None:
                 "queries": times,
                 "sf": os.path.basename(sf_dir).removeprefix("sf"),
                 "rows": rows,
+                "ns_per_link": per_link,
             }
         )
     )
