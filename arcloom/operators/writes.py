@@ -52,6 +52,12 @@ def _new_values(updates: DataFrame) -> DataFrame:
     )
 
 
+def _asked(ids: DataFrame, few: bool) -> DataFrame:
+    """Requested ids as the right side of a join: broadcast, or once each, so that
+    an id asked for by a third of the requests is one row per task."""
+    return F.broadcast(ids.select("id")) if few else ids.select("id").distinct()
+
+
 def _present(links: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
     """The part of ``links`` an anti-join against them needs.
 
@@ -98,14 +104,14 @@ def update_rejects(links: DataFrame, updates: DataFrame, small: bool | None = No
 def bulk_delete(links: DataFrame, ids: DataFrame, small: bool | None = None) -> DataFrame:
     """The table without the given ids."""
     few = is_small(ids, small)
-    return links.join(sized(ids.select("id"), few), "id", "left_anti").select(*LINK_COLUMNS)
+    return links.join(_asked(ids, few), "id", "left_anti").select(*LINK_COLUMNS)
 
 
 def delete_feed(links: DataFrame, ids: DataFrame, small: bool | None = None) -> DataFrame:
     """Change rows of deletes: the link before, nothing after."""
     few = is_small(ids, small)
     zero = F.lit(0).cast("bigint")
-    return links.join(sized(ids.select("id"), few), "id", "left_semi").select(
+    return links.join(_asked(ids, few), "id", "left_semi").select(
         "id",
         F.lit(DELETE).alias("op"),
         F.col("source").alias("before_source"),

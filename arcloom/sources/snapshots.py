@@ -12,6 +12,7 @@ not disturbed by the writer of version 4. One writer at a time is assumed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions.patterns import Pattern, normalise
 from arcloom.operators.commands import HOT_ROWS, current_links
+from arcloom.operators.ids import allocate_ids
 from arcloom.operators.reads import each
 from arcloom.schema import LINK, LINK_COLUMNS
 
@@ -107,6 +109,10 @@ class LinkStore:
             raise LookupError(f"no published version {'' if version is None else version}")
         return found
 
+    def create(self) -> Version:
+        """The latest version, after publishing an empty first one if there is none."""
+        return self.version() or self.publish(self.spark.createDataFrame([], LINK), partitions=1)
+
     def publish(
         self,
         links: DataFrame,
@@ -152,6 +158,15 @@ class LinkStore:
         """Fold a command log into the latest version and publish the result."""
         return self.publish(current_links(commands, self.read(), hot_rows), **publish)
 
+    def add(self, endpoints: DataFrame, order: Sequence[str] = ("source", "target"), **publish) -> Version:
+        """Publish the links ``endpoints`` describes beside the present ones.
+
+        Their ids continue the counter densely, in the given order.
+        """
+        last = self._require(None)
+        new = allocate_ids(endpoints, order, start=last.next_id).select(*LINK_COLUMNS)
+        return self.publish(self.read().unionByName(new), **publish)
+
     def drop(self) -> Version:
         """Publish an empty table and set the id counter back to 1."""
         return self.publish(self.spark.createDataFrame([], LINK), partitions=1, next_id=1)

@@ -59,3 +59,14 @@ def test_a_write_without_its_row_is_not_a_version(spark, store, edge_links):
     assert store.version().version == 1
     assert store.publish(edge_links).version == 2
     assert rows(store.read(2)) == rows(edge_links)
+
+
+def test_create_is_idempotent_and_added_links_continue_the_counter(spark, store):
+    assert store.create() == store.create()
+    assert store.version().n_links == 0
+    pairs = spark.createDataFrame([(9, 1), (3, 4), (3, 2)], "source bigint, target bigint")
+    assert store.add(pairs, copies=()).next_id == 4
+    assert rows(store.read()) == [(1, 3, 2), (2, 3, 4), (3, 9, 1)]
+    store.apply(spark.createDataFrame([(1, "delete", 3, None, None)], COMMAND), copies=())
+    assert store.add(pairs.limit(1), copies=()).next_id == 5
+    assert rows(store.read().select("id")) == [(1,), (2,), (4,)]
