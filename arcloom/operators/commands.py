@@ -27,7 +27,7 @@ is chosen later. That serves two ends:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.operators.sizing import is_small, sized
@@ -85,118 +85,115 @@ def hot_ids(commands: DataFrame, hot_rows: int = HOT_ROWS, chunk_width: int | No
     )
 
 
-def _last_before(value: Column, keys: list[str], order: str) -> Column:
-    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.last(value, ignorenulls=True).over(frame)
+# The scans are written as SQL text: the same plan as Column objects would give,
+# without thousands of driver round trips to assemble them.
 
 
-def _stored(existed: Column) -> tuple[Column, Column]:
-    """The endpoints a command stores given existence before it; NULLs if none."""
-    op = F.col("op")
-    born = op.isin(*BIRTHS) & (existed == ABSENT)
-    given = ((op == UPDATE) & (existed == PRESENT)) | (born & (op == LOAD))
-
-    def endpoint(name: str) -> Column:
-        return (
-            F.when(given, F.coalesce(F.col(name), F.lit(0)))
-            .when(born & (op == CREATE), F.col("id"))
-            .when(born & (op == CREATE_EMPTY), F.lit(0))
-        )
-
-    return endpoint("source"), endpoint("target")
-
-
-def _status(existed: Column) -> Column:
-    op = F.col("op")
+def _last_before(value: str, keys: list[str], order: str) -> str:
     return (
-        F.when(op.isin(*BIRTHS) & (existed == PRESENT), ALREADY_EXISTS)
-        .when(op.isin(UPDATE, DELETE) & (existed == ABSENT), NOT_EXISTS)
-        .when(op.isin(*BIRTHS, UPDATE, DELETE), APPLIED)
-        .otherwise(UNKNOWN_OP)
+        f"last_value({value}) IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY {order} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
 
 
+def _stored(endpoint: str, start: int) -> str:
+    """The endpoint a command stores if its group started absent or present, else NULL."""
+    existed = f"coalesce(seen, {start})"
+    return f"""CASE
+        WHEN op = '{UPDATE}' AND {existed} = {PRESENT} OR op = '{LOAD}' AND {existed} = {ABSENT}
+            THEN coalesce({endpoint}, 0L)
+        WHEN op = '{CREATE}' AND {existed} = {ABSENT} THEN id
+        WHEN op = '{CREATE_EMPTY}' AND {existed} = {ABSENT} THEN 0L
+    END"""
+
+
 def _scan(commands: DataFrame, keys: list[str]) -> DataFrame:
     """Commands with ``life``, ``seen`` (existence before, as far as the group
     tells) and what each stores if its group started absent or present."""
-    life = F.when(F.col("op").isin(*BIRTHS), PRESENT).when(F.col("op") == DELETE, ABSENT)
-    scanned = commands.withColumn("life", life).withColumn(
-        "seen", _last_before(F.col("life"), keys, "seq")
+    life = f"CASE WHEN op IN {BIRTHS} THEN {PRESENT} WHEN op = '{DELETE}' THEN {ABSENT} END"
+    return (
+        commands.selectExpr("*", f"{life} AS life")
+        .selectExpr("*", f"{_last_before('life', keys, 'seq')} AS seen")
+        .selectExpr(
+            "*",
+            *[
+                f"{_stored(endpoint, start)} AS {endpoint[0]}{start}"
+                for start in (ABSENT, PRESENT)
+                for endpoint in ("source", "target")
+            ],
+        )
     )
-    for start in (ABSENT, PRESENT):
-        s, t = _stored(F.coalesce("seen", F.lit(start)))
-        scanned = scanned.withColumns({f"s{start}": s, f"t{start}": t})
-    return scanned
 
 
 def _sum_up(scanned: DataFrame, keys: list[str]) -> DataFrame:
     """The effect of each group, one row per group."""
-    return scanned.groupBy(*keys).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in EFFECT]
-    )
+    last = [F.expr(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN seq END) AS {c}") for c in EFFECT]
+    return scanned.groupBy(*keys).agg(*last)
 
 
 def _outcomes(
     scanned: DataFrame, keys: list[str], start: DataFrame | None, on: list[str]
 ) -> DataFrame:
     """Statuses and images, once ``start`` (``existed, was_s, was_t``) is known."""
-    before = scanned.withColumns(
-        {f"b{c}": _last_before(F.col(c), keys, "seq") for c in ("s0", "t0", "s1", "t1")}
+    before = scanned.selectExpr(
+        "*", *[f"{_last_before(c, keys, 'seq')} AS b{c}" for c in ("s0", "t0", "s1", "t1")]
     )
     if start is None:
-        zero = F.lit(0)
-        started, held = F.lit(ABSENT), {"s": zero, "t": zero}
+        before = before.selectExpr("*", f"{ABSENT} AS existed", "0L AS was_s", "0L AS was_t")
     else:
         before = before.join(start, on, "left")
-        started = F.coalesce("existed", F.lit(ABSENT))
-        held = {"s": F.coalesce("was_s", F.lit(0)), "t": F.coalesce("was_t", F.lit(0))}
-
-    def chosen(name: str) -> Column:
-        return F.when(started == PRESENT, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
-
-    status = _status(F.coalesce(F.col("seen"), started))
-    applied = status == APPLIED
-    had = applied & F.col("op").isin(UPDATE, DELETE)
-    has = applied & (F.col("op") != DELETE)
-
-    def image(shown: Column, value: Column, name: str) -> Column:
-        return F.when(shown, value).otherwise(F.lit(0)).cast("bigint").alias(name)
-
-    return before.select(
+    status = f"""CASE
+        WHEN op IN {BIRTHS} AND coalesce(seen, existed, {ABSENT}) = {PRESENT} THEN '{ALREADY_EXISTS}'
+        WHEN op IN ('{UPDATE}', '{DELETE}') AND coalesce(seen, existed, {ABSENT}) = {ABSENT} THEN '{NOT_EXISTS}'
+        WHEN op IN {BIRTHS} OR op IN ('{UPDATE}', '{DELETE}') THEN '{APPLIED}'
+        ELSE '{UNKNOWN_OP}'
+    END"""
+    # The case that holds, of the two each group was scanned for.
+    chosen = [f"CASE WHEN existed = {PRESENT} THEN {c}1 ELSE {c}0 END AS {c}" for c in ("bs", "bt", "s", "t")]
+    had = f"status = '{APPLIED}' AND op IN ('{UPDATE}', '{DELETE}')"
+    has = f"status = '{APPLIED}' AND op <> '{DELETE}'"
+    return before.selectExpr(
+        "seq", "id", "op", f"{status} AS status", "was_s", "was_t", *chosen
+    ).selectExpr(
         "seq",
         "id",
         "op",
-        status.alias("status"),
-        image(had, F.coalesce(chosen("bs"), held["s"]), "before_source"),
-        image(had, F.coalesce(chosen("bt"), held["t"]), "before_target"),
-        image(has, chosen("s"), "after_source"),
-        image(has, chosen("t"), "after_target"),
+        "status",
+        f"CASE WHEN {had} THEN coalesce(bs, was_s, 0L) ELSE 0L END AS before_source",
+        f"CASE WHEN {had} THEN coalesce(bt, was_t, 0L) ELSE 0L END AS before_target",
+        f"CASE WHEN {has} THEN s ELSE 0L END AS after_source",
+        f"CASE WHEN {has} THEN t ELSE 0L END AS after_target",
     )
 
 
 def _chunked(commands: DataFrame, hot: DataFrame) -> DataFrame:
     """The commands of hot ids with the chunk each is in."""
-    return commands.join(hot, "id").withColumn("chunk", F.expr("seq div width")).drop("width")
+    return commands.join(hot, "id").selectExpr(*COMMAND_COLUMNS, "seq div width AS chunk")
 
 
 def _chunk_starts(chunks: DataFrame, start: DataFrame | None) -> DataFrame:
     """The state every chunk starts in, from the effects of the chunks before it."""
     if start is None:
-        zero = F.lit(0).cast("bigint")
-        chunks = chunks.withColumns({"existed": F.lit(ABSENT), "was_s": zero, "was_t": zero})
+        chunks = chunks.selectExpr("*", f"{ABSENT} AS existed", "0L AS was_s", "0L AS was_t")
     else:
         chunks = chunks.join(start, "id", "left")
-    existed = F.coalesce(
-        _last_before(F.col("life"), ["id"], "chunk"), F.col("existed"), F.lit(ABSENT)
-    )
-    chunks = chunks.withColumn("existed", existed)
-
-    def held(name: str) -> Column:
-        stored = F.when(F.col("existed") == PRESENT, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
-        return F.coalesce(_last_before(stored, ["id"], "chunk"), F.col(f"was_{name}"))
-
-    return chunks.select(
-        "id", "chunk", "existed", held("s").alias("was_s"), held("t").alias("was_t")
+    earlier = _last_before("life", ["id"], "chunk")
+    stored = {c: f"CASE WHEN existed = {PRESENT} THEN {c}1 ELSE {c}0 END" for c in "st"}
+    return (
+        chunks.selectExpr(
+            "id",
+            "chunk",
+            *EFFECT[1:],
+            f"coalesce({earlier}, existed, {ABSENT}) AS existed",
+            "was_s",
+            "was_t",
+        )
+        .selectExpr(
+            "id",
+            "chunk",
+            "existed",
+            *[f"coalesce({_last_before(e, ['id'], 'chunk')}, was_{c}) AS was_{c}" for c, e in stored.items()],
+        )
     )
 
 
@@ -220,8 +217,8 @@ def outcomes(
         touched = rows.select("id").distinct()
         few = is_small(touched, small)
         start = base.join(F.broadcast(touched), "id", "left_semi") if few else base
-        start = start.select(
-            "id", F.lit(PRESENT).alias("existed"), F.col("source").alias("was_s"), F.col("target").alias("was_t")
+        start = start.selectExpr(
+            "id", f"{PRESENT} AS existed", "source AS was_s", "target AS was_t"
         )
 
     def plain(part: DataFrame) -> DataFrame:
@@ -251,18 +248,16 @@ def log_effect(
         return _sum_up(_scan(rows, ["id"]), ["id"])
     hot = F.broadcast(hot_ids(rows, hot_rows, chunk_width))
     keys = ["id", "chunk"]
-    chunks = _sum_up(_scan(_chunked(rows, hot), keys), keys)
-    earlier = _last_before(F.col("life"), ["id"], "chunk")
-    chunks = chunks.withColumn("earlier", earlier)
-    for start in (ABSENT, PRESENT):
-        existed = F.coalesce("earlier", F.lit(start)) == PRESENT
-        chunks = chunks.withColumns(
-            {f"{c}_{start}": F.when(existed, F.col(f"{c}1")).otherwise(F.col(f"{c}0")) for c in "st"}
-        )
-    sums = {"life": "life", "s0": "s_0", "t0": "t_0", "s1": "s_1", "t1": "t_1"}
-    of_hot = chunks.groupBy("id").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("chunk"))).alias(n) for n, c in sums.items()]
+    # Both cases of the id, followed through its chunks.
+    chunks = _sum_up(_scan(_chunked(rows, hot), keys), keys).selectExpr(
+        "*", f"{_last_before('life', ['id'], 'chunk')} AS earlier"
     )
+    last = ["max_by(life, CASE WHEN life IS NOT NULL THEN chunk END) AS life"]
+    for start in (ABSENT, PRESENT):
+        for c in "st":
+            held = f"CASE WHEN coalesce(earlier, {start}) = {PRESENT} THEN {c}1 ELSE {c}0 END"
+            last.append(f"max_by({held}, CASE WHEN {held} IS NOT NULL THEN chunk END) AS {c}{start}")
+    of_hot = chunks.groupBy("id").agg(*map(F.expr, last))
     cold = rows.join(hot, "id", "left_anti")
     return _sum_up(_scan(cold, ["id"]), ["id"]).unionByName(of_hot)
 
@@ -326,8 +321,8 @@ def current_links(
         )
         held = base.join(F.broadcast(made.select("id")), "id", "left_semi")
         return kept.unionByName(made.join(held, "id", "left_anti"))
-    in_base = F.col("source").isNotNull()
-    joined = base.select(*LINK_COLUMNS).join(effect, "id", "full")
+    in_base = F.col("held").isNotNull()
+    joined = base.select(*LINK_COLUMNS, F.lit(True).alias("held")).join(effect, "id", "full")
     return joined.where((in_base & survives) | (F.col("life") == PRESENT)).select(
         "id",
         F.when(in_base, F.coalesce("s1", "source")).otherwise(F.col("s0")).alias("source"),
