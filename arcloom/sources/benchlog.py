@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from re import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values of the log format.
+# Fixed values of the log format. Groups: operation, mode of a remote backend,
+# layout and storage of an in-process one, figure, deviation.
 FIGURE = (
-    r"test\s+(\w+)/({remote}|{local})_(\w+)\s+\.\.\.\s+bench:\s+(\d+)\s+ns/iter\s+\(\+/-\s+(\d+)\)"
+    r"test\s+(\w+)/(?:{remote}_(\w+)|{local}_(\w+)_(\w+))\s+\.\.\."
+    r"\s+bench:\s+(\d+)\s+ns/iter\s+\(\+/-\s+(\d+)\)"
 )
 TRANSACTION, UNITED, VOLATILE = "Transaction", "United", "Volatile"
 FAILURE = r"panicked|bench failed"
@@ -61,42 +63,33 @@ def parse_lines(
     """
     figure = FIGURE.format(remote=escape(families.remote), local=escape(families.local))
     # One search per line, one split per hit; the words hold no blanks.
-    words = F.split(F.regexp_replace("hit", figure, "$1 $2 $3 $4 $5"), " ")
-    hits = (
+    words = F.split(F.regexp_replace("hit", figure, "$1 $2 $3 $4 $5 $6"), " ")
+    op, mode, layout, storage, ns, dev = (F.get("words", F.lit(n)) for n in range(6))
+    in_process = F.concat(
+        F.when(layout == UNITED, "united").otherwise("split"),
+        F.when(storage == VOLATILE, "_volatile").otherwise("_nonvolatile"),
+    )
+    backend = (
+        F.when(mode == TRANSACTION, "remote_transaction")
+        .when(mode != "", "remote_nontransaction")
+        .otherwise(in_process)
+    )
+    return (
         lines.where(F.col("line").contains("ns/iter"))
         .select(
             *order,
             F.posexplode(F.regexp_extract_all("line", F.lit(figure), F.lit(0))).alias("pos", "hit"),
         )
         .select(*order, "pos", words.alias("words"))
-    )
-
-    def part(n: int) -> Column:
-        return F.get("words", F.lit(n - 1))
-
-    mode = part(3)
-    layout, storage = (F.regexp_extract(mode, r"^(\w+)_(\w+)$", n) for n in (1, 2))
-    backend = (
-        F.when(
-            part(2) == families.remote,
-            F.when(mode == TRANSACTION, "remote_transaction").otherwise("remote_nontransaction"),
-        )
-        .when(layout == "", None)
-        .otherwise(
-            F.concat(
-                F.when(layout == UNITED, "united").otherwise("split"),
-                F.when(storage == VOLATILE, "_volatile").otherwise("_nonvolatile"),
-            )
+        .select(
+            *order,
+            F.col("pos").cast("bigint").alias("pos"),
+            F.regexp_replace(op, "_", " ").alias("op"),
+            backend.alias("backend"),
+            ns.cast("bigint").alias("ns"),
+            dev.cast("bigint").alias("dev"),
         )
     )
-    return hits.select(
-        *order,
-        F.col("pos").cast("bigint").alias("pos"),
-        F.regexp_replace(part(1), "_", " ").alias("op"),
-        backend.alias("backend"),
-        part(4).cast("bigint").alias("ns"),
-        part(5).cast("bigint").alias("dev"),
-    ).where(F.col("backend").isNotNull())
 
 
 def failure_lines(lines: DataFrame) -> DataFrame:
