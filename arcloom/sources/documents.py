@@ -67,7 +67,9 @@ def parse_documents(documents: DataFrame) -> DataFrame:
 
 
 def _rows(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("status") == OK).select("doc_id", F.explode("data.row").alias("row"))
+    # Only good documents have data. A filter on the status would be pushed below
+    # the parsing and so parse every document again.
+    return parsed.select("doc_id", F.explode("data.row").alias("row"))
 
 
 def document_links(parsed: DataFrame) -> DataFrame:
