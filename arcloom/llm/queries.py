@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import quality
+from arcloom.llm import lines, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,28 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         score.alias("score"),
         (score >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_shared_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+ORACLE["op10_lines"] = """
+WITH line AS (
+  SELECT doc_id, row, i, lines[i] AS line,
+         translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i
+        FROM (SELECT doc_id, row_number() OVER () AS row,
+                     string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), shared AS (
+  SELECT key FROM line WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(s.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (s.key IS NULL), '')) AS kept_sha256
+FROM line LEFT JOIN shared s USING (key) GROUP BY row
+"""
