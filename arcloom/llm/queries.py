@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import lines, quality
+from arcloom.llm import decontaminate, lines, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,56 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(s.key) AS n_dropp
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (s.key IS NULL), '')) AS kept_sha256
 FROM line LEFT JOIN shared s USING (key) GROUP BY row
 """
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLE["op2_decontaminate"] = r"""
+WITH item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark
+), win AS (
+  SELECT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+), doc AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
+), place AS (
+  SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM doc
+), phrase AS (
+  SELECT row, i, size, string_agg(word, ' ') OVER next AS phrase, count(*) OVER next AS found
+  FROM (SELECT row, i, word, 10 AS size FROM place)
+  WINDOW next AS (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)
+  UNION ALL
+  SELECT row, i, size, array_to_string(w[i:i + size - 1], ' '), size
+  FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM doc, (SELECT DISTINCT size FROM win WHERE size < 10) WHERE len(w) >= size)
+), hit AS (
+  SELECT p.row, p.i, p.size, win.item_id
+  FROM phrase p JOIN win ON win.size = p.size AND win.phrase = p.phrase WHERE p.found = p.size
+), words AS (
+  SELECT row, count(DISTINCT pos) AS n_hit
+  FROM (SELECT row, unnest(range(i, i + size)) AS pos FROM hit) GROUP BY row
+), items AS (
+  SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM hit) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN words USING (row) LEFT JOIN items USING (row)
+"""
