@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, lines, neardup, quality
+from arcloom.llm import decontaminate, lines, neardup, pieces, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +118,19 @@ FROM doc LEFT JOIN words USING (row) LEFT JOIN items USING (row)
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return neardup.NearCopies().classes(docs).select("doc_id", "class_id", "class_size", "copies")
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = pieces.decode(pieces.encode(docs, PIECES), PIECES)
+    return both.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        F.xxhash64("pieces").alias("pieces_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("same_text"),
+    )
