@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """``(doc_id, text, version)``; a null text is an empty one.
 
+    With ``carry``, one more column ``row`` holds all columns as they came, whatever
+    their names.
+
     ``version`` hashes the text. Rows are told apart by ``(doc_id, version)``, so
     that a null or repeated ``doc_id`` with several texts does no harm; rows that
     agree in both are copies, and every operator gives all of them the same result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     return docs.select(
-        F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version")
+        F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"), *row
     )
 
 
@@ -27,6 +31,15 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["version"] == right["version"])
 
 
+def keep_rows(docs: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs``, with their own columns, that ``wanted (doc_id, version)`` names.
+
+    ``how="left_anti"`` gives the other rows.
+    """
+    rows = texts(docs, carry=True).select("doc_id", "version", "row")
+    return rows.join(wanted, same_row(rows, wanted), how).select("row.*")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -244,15 +244,17 @@ def drop_shared_lines(
     min_docs: int = 10,
     broadcast_bytes: int = 64 << 20,
     shard_keys: int = SHARD_KEYS,
+    carry: bool = False,
 ) -> DataFrame:
     """``(doc_id, version, text, n_lines, n_dropped, kept)`` for each row of ``docs``.
 
     A text is cut at ``\\n``; a null or empty one is one empty line. A line's key is
     the line stripped of blanks and with A-Z lower-cased. Keys found in ``min_docs``
     or more documents lose all their lines; lines with an empty key always stay.
-    Repeated rows are documents of their own and get equal results.
+    Repeated rows are documents of their own and get equal results. With ``carry``, a
+    column ``row`` holds the columns of ``docs``.
     """
-    docs = _line_hashes(texts(docs))
+    docs = _line_hashes(texts(docs, carry=carry))
     index, shards = line_index(docs, min_docs, shard_keys)
     size = F.length("prints") + F.length("counts") + F.aggregate(
         "levels", F.lit(0), lambda n, b: n + F.length(b)
@@ -272,5 +274,6 @@ def drop_shared_lines(
             F.size("drop").cast("long").alias("n_lines"),
             F.size(F.filter("drop", lambda d: d)).cast("long").alias("n_dropped"),
             F.array_join(kept, "\n").alias("kept"),
+            *(["row"] if carry else []),
         )
     )

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.common import texts, words
+from arcloom.llm.common import keep_rows, same_row, texts, words
 from arcloom.llm.components import components, stored
 from arcloom.operators.sizing import BROADCAST_ROWS, sized
 
@@ -208,9 +208,9 @@ class NearCopies:
         return stored(links.unionByName(more), "links")
 
     def classes(self, docs: DataFrame) -> DataFrame:
-        """``(doc_id, version, class_id, class_size, copies)`` for each row of ``docs (doc_id, text)``.
+        """``(doc_id, version, root, class_id, class_size, copies)`` for each row of ``docs (doc_id, text)``.
 
-        ``class_id`` is the lowest ``doc_id`` among all rows that near-copy links join,
+        ``root`` tells classes apart. ``class_id`` is the lowest ``doc_id`` among all rows that near-copy links join,
         directly or through others; ``class_size`` counts those rows, ``copies`` the
         rows of the same text. Equal texts are one class, without words too (null is
         an empty text); a text without words is alike to no other text. Ids may be
@@ -250,7 +250,24 @@ class NearCopies:
             placed.groupBy("root").agg(F.min("lowest").alias("class_id"), F.sum("copies").alias("class_size")),
             "classes",
         )
-        of_text = stored(placed.join(whole, "root").select("version", "class_id", "class_size", "copies"), "of-text")
+        of_text = stored(placed.join(whole, "root").select("version", "root", "class_id", "class_size", "copies"), "of-text")
         return signed.select("doc_id", "version").join(of_text, "version").select(
-            "doc_id", "version", "class_id", "class_size", "copies"
+            "doc_id", "version", "root", "class_id", "class_size", "copies"
         )
+
+    def first_of_each(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs`` without near copies: of each class the row with the lowest
+        ``doc_id`` (a null one before all; of several texts under it, the one whose hash
+        is lowest). Of wholly repeated ids and texts, one row stays.
+        """
+        found = self.classes(docs)
+        first = found.groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("first")).select("first.*")
+        times = found.groupBy("doc_id", "version").agg(F.count("*").alias("times"))
+        first = stored(
+            first.join(times, same_row(first, times)).select(first["doc_id"], first["version"], "times"), "first"
+        )
+        once = keep_rows(docs, first.where("times = 1"))
+        # Rows that repeat id and text are told apart by nothing.
+        again = keep_rows(docs, first.where("times > 1"))
+        again = texts(again, carry=True).dropDuplicates(["doc_id", "version"]).select("row.*")
+        return once.unionByName(again)
