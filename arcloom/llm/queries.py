@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, lines, neardup, pieces, quality
+from arcloom.llm import decontaminate, lines, neardup, pieces, quality, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +134,29 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.col("text")).alias("same_text"),
     )
+
+
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = winnow.edited(docs).select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.fingerprint(F.col("text")).alias("prints"),
+        winnow.fingerprint(F.col("edited")).alias("edited_prints"),
+        "next_prints",
+    )
+
+    def written(prints):
+        return F.array_join(F.transform(winnow.values(prints), lambda v: F.lower(F.hex(v))), " ")
+
+    return both.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        written("prints").alias("fingerprint"),
+        written("edited_prints").alias("edited_fingerprint"),
+        winnow.likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"),
+        winnow.likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
+    )
