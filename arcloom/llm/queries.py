@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, lines, neardup, pieces, quality, winnow
+from arcloom.llm import decontaminate, lines, neardup, pieces, quality, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,3 +160,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         winnow.likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"),
         winnow.likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
     )
+
+
+@query
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # Labels are by document; a page carries the label of the document of its number.
+    labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", (F.col("q") == 0).alias("blocked"))
+    return urls.judge(pages, urls.rule_table(spark), urls.RuleMiner().mine(labelled))
