@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, lines, neardup, pieces, quality, urls, winnow
+from arcloom.llm import decontaminate, lines, neardup, pieces, quality, records, urls, winnow
+from arcloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -121,6 +122,7 @@ def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+WORDS_FILE = "/opt/tokenizers/word_bpe_49k.json"
 
 
 @query
@@ -169,3 +171,14 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
     labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", (F.col("q") == 0).alias("blocked"))
     return urls.judge(pages, urls.rule_table(spark), urls.RuleMiner().mine(labelled))
+
+
+@query
+def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "records")
+    index = records.write_records(docs, folder, WORDS_FILE, end_id=2)
+    read = records.read_records(records.starts(index), folder)
+    return read.select(
+        "doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), records.ids_crc32(F.col("ids")).alias("ids_crc32")
+    )
