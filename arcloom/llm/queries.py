@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, lines, neardup, pieces, quality, records, urls, winnow
+from arcloom.llm import decontaminate, lines, neardup, pieces, pii, quality, records, urls, winnow
 from arcloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,25 @@ def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(
         "doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), records.ids_crc32(F.col("ids")).alias("ids_crc32")
     )
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def of(kind):
+        return lambda span: span["kind"] == kind
+
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter(base, of(kind))).cast("long").alias(f"n_{kind}")
+            for kind in ("email", "ip", "card", "phone")
+        ],
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
