@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, lines, neardup, pieces, pii, quality, records, urls, winnow
+from arcloom.llm import decontaminate, lines, neardup, passages, pieces, pii, quality, records, urls, winnow
 from arcloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,22 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(written(base), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages between first documents of texts, and copies of texts as passages of all their words."""
+    shared = passages.SharedPassages()
+    found, members = shared.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    copies = members.where((F.col("doc_id") != F.col("first")) & (F.col("n_words") >= shared.min_words))
+    return found.drop("n_same").unionByName(
+        copies.select(
+            "doc_id",
+            F.lit(0).alias("start"),
+            F.col("n_words").cast("int").alias("end"),
+            F.col("first").alias("other_id"),
+            F.lit(0).alias("other_start"),
+            F.col("n_words").cast("int").alias("other_end"),
+            F.lit(1.0).alias("likeness"),
+        )
+    )
