@@ -145,22 +145,22 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        winnow.fingerprint(F.col("text")).alias("prints"),
-        winnow.fingerprint(F.col("edited")).alias("edited_prints"),
-        "next_prints",
+        winnow.values(winnow.fingerprint(F.col("text"))).alias("own"),
+        winnow.values(winnow.fingerprint(F.col("edited"))).alias("edited"),
+        "next_values",
     )
 
-    def written(prints):
-        return F.array_join(F.transform(winnow.values(prints), lambda v: F.lower(F.hex(v))), " ")
+    def written(values):
+        return F.array_join(F.transform(values, lambda v: F.lower(F.hex(v))), " ")
 
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        written("prints").alias("fingerprint"),
-        written("edited_prints").alias("edited_fingerprint"),
-        winnow.likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"),
-        winnow.likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
+        written("own").alias("fingerprint"),
+        written("edited").alias("edited_fingerprint"),
+        winnow.likeness(F.col("own"), F.col("edited")).alias("near_edited"),
+        winnow.likeness(F.col("own"), F.col("next_values")).alias("near_next"),
     )
 
 

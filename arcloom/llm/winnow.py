@@ -65,7 +65,7 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
 
 def values(prints: Column) -> Column:
-    return F.transform(prints, lambda p: F.shiftright(p, 31))
+    return F.transform(prints, lambda p: F.shiftright(p, 31).cast("int"))
 
 
 def positions(prints: Column) -> Column:
@@ -73,15 +73,15 @@ def positions(prints: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of the values of two fingerprints; 1 for two empty ones."""
-    a, b = F.array_distinct(values(a)), F.array_distinct(values(b))
+    """Jaccard likeness of two arrays of values; 1 for two empty ones."""
+    a, b = F.array_distinct(a), F.array_distinct(b)
     shared = F.size(F.array_intersect(a, b))
     total = F.size(a) + F.size(b) - shared
     return F.when(total == 0, F.lit(1.0)).otherwise(shared / total)
 
 
 def followers(docs: DataFrame) -> DataFrame:
-    """``(doc_id, version, next_id, next_version)`` for the distinct rows of ``docs``.
+    """``(key, version, doc_id, n, next_key, next_version)`` for the distinct rows of ``docs (key, version, doc_id, n)``.
 
     Rows are in order of ``doc_id``, null first, then of ``version``; the first follows
     the last. The keys are range-partitioned and written, each partition is put in
@@ -92,59 +92,57 @@ def followers(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("version")]
     (
-        docs.select("doc_id", "version").distinct()
+        docs.distinct()
         .repartitionByRange(parts, *order)
         .withColumn("part", F.spark_partition_id())
         .write.parquet(path)
     )
-    keys = spark.read.parquet(path)
-    after = F.lead(F.struct("doc_id", "version")).over(Window.partitionBy("part").orderBy(*order))
-    inside = keys.withColumn("next", after)
+    rows = spark.read.parquet(path)
+    after = F.lead(F.struct("key", "version")).over(Window.partitionBy("part").orderBy(*order))
+    inside = rows.withColumn("next", after)
     # One row per partition.
-    heads = keys.groupBy("part").agg(F.min(F.struct("doc_id", "version")).alias("head"))
-    turn = Window.orderBy("part")
-    heads = heads.select(
-        "part", F.coalesce(F.lead("head").over(turn), F.first("head").over(turn)).alias("head")
-    )
+    heads = rows.groupBy("part").agg(F.min(F.struct("doc_id", "version", "key")).alias("head"))
+    turn = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(turn))
+    heads = heads.select("part", F.struct(following["key"].alias("key"), following["version"].alias("version")).alias("head"))
     return inside.join(F.broadcast(heads), "part").withColumn("next", F.coalesce("next", "head")).select(
-        "doc_id", "version", F.col("next.doc_id").alias("next_id"), F.col("next.version").alias("next_version")
+        "key", "version", "doc_id", "n", F.col("next.key").alias("next_key"), F.col("next.version").alias("next_version")
     )
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """``(doc_id, version, text, edited, next_prints)``: each text, and the same with its end replaced.
+    """``(doc_id, text, edited, next_values)``: each text, and the same with its end replaced.
 
     The last ``floor(n / 2)`` of its ``n`` code points give way to as many of the
-    first of the next document (to all, if it has fewer). ``next_prints`` is the next
-    document's fingerprint. A single document follows itself; rows that agree in id
-    and text follow the next other row.
+    first of the next document (to all, if it has fewer). ``next_values`` are the
+    values of the next document's fingerprint. A single document follows itself; rows
+    that agree in id and text follow the next other row.
     """
     spark = docs.sparkSession
-    docs = texts(docs)
-    lengths = docs.select("doc_id", "version", F.char_length("text").alias("n")).distinct()
-    path = scratch_path(spark, "followers")
-    f, n = followers(docs), lengths
-    (
-        f.join(n, f["doc_id"].eqNullSafe(n["doc_id"]) & (f["version"] == n["version"]))
-        .select(f["doc_id"], f["version"], "next_id", "next_version", F.floor(F.col("n") / 2).cast("int").alias("half"))
-        .write.parquet(path)
+    # Null ids share a key with an ordinary one, but no version.
+    keyed = texts(docs).select(
+        F.coalesce("doc_id", F.lit(0)).alias("key"),
+        F.xxhash64("version", F.col("doc_id").isNull()).alias("version"),
+        "doc_id",
+        "text",
     )
-    wanted = spark.read.parquet(path)
-    # What each document gives to the one before it.
-    d, w = docs.select("doc_id", "version", "text"), wanted
+    path = scratch_path(spark, "followers")
+    followers(keyed.select("key", "version", "doc_id", F.char_length("text").alias("n"))).write.parquet(path)
+    wanted = spark.read.parquet(path).withColumn("half", F.floor(F.col("n") / 2).cast("int"))
+    # The same columns on both sides of the way, so that the texts are shuffled once.
+    whole = keyed.select("key", "version", "text")
     given = (
-        d.join(w, d["doc_id"].eqNullSafe(w["next_id"]) & (d["version"] == w["next_version"]))
+        whole.withColumnsRenamed({"key": "next_key", "version": "next_version"})
+        .join(wanted, ["next_key", "next_version"])
         .select(
-            w["doc_id"], w["version"], "half",
+            "key", "version", "doc_id", "half",
             F.substring("text", F.lit(1), F.col("half")).alias("start"),
-            fingerprint(d["text"]).alias("next_prints"),
+            values(fingerprint(F.col("text"))).alias("next_values"),
         )
+        .groupBy("key", "version")
+        .agg(*[F.first(c).alias(c) for c in ("doc_id", "half", "start", "next_values")])
     )
-    given = given.groupBy("doc_id", "version").agg(
-        F.first("half").alias("half"), F.first("start").alias("start"), F.first("next_prints").alias("next_prints")
-    )
-    d = docs.select("doc_id", "version", "text")
-    kept = F.substring(d["text"], F.lit(1), F.char_length(d["text"]) - F.col("half"))
-    return d.join(given, d["doc_id"].eqNullSafe(given["doc_id"]) & (d["version"] == given["version"])).select(
-        d["doc_id"], d["version"], d["text"], F.concat(kept, "start").alias("edited"), "next_prints"
+    kept = F.substring("text", F.lit(1), F.char_length("text") - F.col("half"))
+    return whole.join(given, ["key", "version"]).select(
+        "doc_id", "text", F.concat(kept, "start").alias("edited"), "next_values"
     )
