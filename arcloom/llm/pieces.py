@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a Viterbi search over many words at once.
 
 A text becomes words: a space is written as U+2581, one more stands in front, and a
-word is a run of U+2581 with what follows it; a line break is a word of its own, as
-no piece holds one. Distinct words are sorted by length, and
+word is a run of U+2581 with what follows it, cut at line breaks and between Latin letters
+and a sign, where no piece crosses (checked when a vocabulary is read). Distinct words are sorted by length, and
 words of one length advance together: for each end place, the hash of every possible
 last piece is looked up among the sorted hashes of the pieces, the best total wins,
 and back pointers are kept, all as numpy columns. A character that no piece covers is
@@ -26,27 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+LETTERS, SIGN = r"[A-Za-z\u00C0-\u024F]", r"[.,!*&#$%|;:?\"'()-]"
+WORDS = re.compile(f"{SPACE}*{LETTERS}+(?={SIGN})|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+CROSSING = re.compile(f"\n|{LETTERS}{SIGN}")
 # Cost of a byte beyond any piece's, so that bytes are the last resort. (Chosen, not learned.)
 BYTE_PENALTY = 10.0
 _BASE = np.uint64(0xD1342543DE82EF95)  # any odd number of 64 mixed bits
 # Stands for a U+2581 of the text itself; no text holds a lone surrogate, no piece does.
 MARK = "\udc81"
-CACHE_WORDS = 700_000
-BATCH = 1000  # texts that are cut into words together
+CACHE_WORDS = 200_000
+BATCH = 400  # texts that are cut into words together
 
 
 @dataclass
 class Vocabulary:
-    """Pieces sorted by hash, with scores and ids."""
+    """Pieces with scores, and their hashes in order."""
 
     pieces: list[str]
     scores: np.ndarray
     byte_ids: np.ndarray
     usable: np.ndarray
     longest: int = 0
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    sorted: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length: hashes, ids
     byte_score: float = 0.0
 
     @staticmethod
@@ -72,13 +73,16 @@ class Vocabulary:
     def ready(self) -> Vocabulary:
         ids = np.flatnonzero(self.usable)
         texts = [self.pieces[i] for i in ids]
-        if any("\n" in t for t in texts):
-            raise ValueError("a piece holds a line break")
+        if any(CROSSING.search(t) for t in texts):
+            raise ValueError("a piece crosses a place where words are cut")
         hashes = np.array([_hash_of(t) for t in texts], np.uint64)
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces share a hash")
-        order = np.argsort(hashes)
-        self.keys, self.ids = hashes[order], ids[order].astype(np.int32)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        for length in np.unique(lengths).tolist():
+            mine = np.flatnonzero(lengths == length)
+            mine = mine[np.argsort(hashes[mine])]
+            self.sorted[length] = hashes[mine], ids[mine].astype(np.int32)
         self.longest = max(map(len, texts), default=1)
         self.byte_score = float(self.scores[ids].min(initial=0.0)) - BYTE_PENALTY
         return self
@@ -90,7 +94,7 @@ class Vocabulary:
         order = np.argsort(lengths, kind="stable")
         for length in np.unique(lengths):
             mine = order[np.searchsorted(lengths[order], length) : np.searchsorted(lengths[order], length, "right")]
-            block = max(1, 150_000 // max(int(length), 1))
+            block = max(1, 100_000 // max(int(length), 1))
             for at in range(0, len(mine), block):
                 part = mine[at : at + block]
                 joined = "".join(words[i] for i in part)
@@ -118,16 +122,21 @@ class Vocabulary:
             grown[:, span:] = tail[:, span:] + wide[:, : length - span + 1] * power
             tail = grown
             power = np.uint64(int(power) * int(_BASE) % 2**64)
-            at = np.searchsorted(self.keys, tail[:, span:])
-            at[at == len(self.keys)] = 0
-            found = self.keys[at] == tail[:, span:] if len(self.keys) else np.zeros(at.shape, bool)
-            ids = np.where(found, self.ids[at] if len(self.keys) else 0, -1)
-            tails.append((span, ids, np.where(found, self.scores[ids], -np.inf)))
+            if span not in self.sorted:
+                continue
+            keys, ids = self.sorted[span]
+            at = np.searchsorted(keys, tail[:, span:])
+            at[at == len(keys)] = 0
+            found = keys[at] == tail[:, span:]
+            held = np.where(found, ids[at], -1)
+            tails.append((span, held, np.where(found, self.scores[held], -np.inf)))
         for end in range(1, length + 1):
             score = best[:, end - 1] + size[:, end - 1] * self.byte_score
             step = np.ones(count, np.int16)
             which = np.full(count, -1, np.int32)
-            for span, ids, gain in tails[: min(longest, end)]:
+            for span, ids, gain in tails:
+                if span > end:
+                    break
                 total = best[:, end - span] + gain[:, end - span]
                 win = total > score
                 score = np.where(win, total, score)
