@@ -57,7 +57,7 @@ class PerfectHash:
     """The arrays of one shard: place of a key, its fingerprint, its count.
 
     Keys whose first hashes are equal cannot be told apart by place; such keys (about
-    none in 2**32) are kept beside the arrays, as ``(h, f) -> count``.
+    none in 2**32) stand at the end and are looked up by their fingerprint alone.
     """
 
     def __init__(self, levels: list[np.ndarray], prints: np.ndarray, counts: np.ndarray):
@@ -91,7 +91,7 @@ class PerfectHash:
         left = np.arange(len(h))
         for level, bits in enumerate(self.levels):
             if not len(left):
-                return out
+                break
             at = (_mix(h[left], level) % np.uint64(len(bits))).astype(np.int64)
             placed = bits[at]
             rank = self.before[level][at[placed]]
@@ -101,7 +101,8 @@ class PerfectHash:
         rest = int(self.before[-1][-1]) if self.levels else 0
         if rest < len(self.prints):
             extra = dict(zip(self.prints[rest:].tolist(), self.counts[rest:].tolist()))
-            out[left] = [extra.get(x, 0) for x in f[left].tolist()]
+            for i in np.flatnonzero((out == 0) & np.isin(f, self.prints[rest:])).tolist():
+                out[i] = extra[int(f[i])]
         return out
 
     def to_row(self, shard: int) -> dict:

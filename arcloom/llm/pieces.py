@@ -21,9 +21,10 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 SPACE = "▁"
 LETTERS, SIGN = r"[A-Za-z\u00C0-\u024F]", r"[.,!*&#$%|;:?\"'()-]"
@@ -229,31 +230,53 @@ def _encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "pieces") -> DataFrame:
+def _mapped(docs: DataFrame, source, added: dict[str, DataType], work) -> DataFrame:
+    """``docs`` with columns ``added`` that ``work`` makes of the column ``source``, in small batches.
+
+    Equally named columns are replaced. Rows stay in Arrow form, so their types do.
+    """
+    kept = [c for c in docs.columns if c not in added]
+    names = [*kept, *added]
+    schema = StructType([docs.schema[c] for c in kept] + [StructField(n, t) for n, t in added.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *work(part.columns[-1])], names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in kept], source.alias("source of " + " ".join(added))).mapInArrow(run, schema)
+
+
+def encode(
+    docs: DataFrame, path: str, text_col: str = "text", out: str = "pieces", decoded: str | None = None
+) -> DataFrame:
     """``docs`` with the ids of each text in ``out`` (array of int); empty for a null or empty text.
 
-    ``path`` names the vocabulary on every machine. An equally named column is replaced.
+    ``path`` names the vocabulary on every machine. Equally named columns are replaced.
+    With ``decoded``, a column of that name holds what the ids decode to, as a check.
     """
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work(texts: pa.Array) -> list[pa.Array]:
         encoder = _encoder(path)
-        for batch in batches:
-            done: list[np.ndarray] = []
-            for at in range(0, len(batch), BATCH):
-                done += encoder.encode(batch.iloc[at : at + BATCH].tolist())
-            yield pd.Series(done, dtype=object)
+        made = encoder.encode(texts.to_pylist())
+        ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
+        columns = [pa.ListArray.from_arrays(ends, np.concatenate(made))]
+        if decoded:
+            columns.append(pa.array([encoder.vocabulary.decode(ids.tolist()) for ids in made], pa.string()))
+        return columns
 
-    return docs.withColumn(out, ids(F.coalesce(text_col, F.lit(""))))
+    added: dict[str, DataType] = {out: ArrayType(IntegerType())}
+    if decoded:
+        added[decoded] = StringType()
+    return _mapped(docs, F.coalesce(text_col, F.lit("")), added, work)
 
 
 def decode(docs: DataFrame, path: str, pieces_col: str = "pieces", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of each array of ids in ``out``; a null array is an empty text."""
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work(ids: pa.Array) -> list[pa.Array]:
         vocabulary = _encoder(path).vocabulary
-        for batch in batches:
-            yield pd.Series([vocabulary.decode(ids.tolist()) for ids in batch], dtype=object)
+        return [pa.array([vocabulary.decode(x) for x in ids.to_pylist()], pa.string())]
 
-    return docs.withColumn(out, text(F.coalesce(pieces_col, F.array().cast("array<int>"))))
+    return _mapped(docs, F.coalesce(pieces_col, F.array().cast("array<int>")), {out: StringType()}, work)

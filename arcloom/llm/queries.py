@@ -128,7 +128,7 @@ WORDS_FILE = "/opt/tokenizers/word_bpe_49k.json"
 @query
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = pieces.decode(pieces.encode(docs, PIECES), PIECES)
+    both = pieces.encode(docs, PIECES, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),

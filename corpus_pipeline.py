@@ -44,7 +44,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, lang, source, n_pieces, pieces, round_trip)``: the ids, and whether they decode to the text."""
-    made = pieces.decode(pieces.encode(docs, PIECES), PIECES)
+    made = pieces.encode(docs, PIECES, decoded="decoded")
     return made.select(
         "doc_id",
         "lang",
