@@ -189,7 +189,7 @@ class NearCopies:
                 .withColumn("joined", F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False))),
                 "compared",
             )
-            known = rows.join(found.toDF("node", "pivot", *found.columns[2:]), ["pivot", "node"])
+            known = rows.join(found.withColumnsRenamed({"a": "pivot", "b": "node"}), ["pivot", "node"])
             between = known.where(~is_link & ~F.col("joined") & (F.col("likeness") >= gray))
             near = known.where(is_link).select("key", F.col("node").alias("a"))
             pairs = between.select("key", F.col("node").alias("b")).join(near, "key").select("a", "b").distinct()

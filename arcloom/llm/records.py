@@ -12,7 +12,9 @@ commits survive: files of lost or repeated attempts are named by no row.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,10 +31,10 @@ HEAD = 12
 FOOT = 4
 # Added to a rotated checksum, so that checksums of data that hold checksums differ. (Format value.)
 MASK = 0xA282EAD8
-# What the normaliser and the splitter of the vocabulary treat alike in any context. (Choice.)
-PLAIN_BELOW = "̀"
-CACHE_WORDS = 600_000
-BATCH = 1000
+# Below this, characters neither combine nor change case by their neighbours. (Unicode.)
+PLAIN_BELOW = "\u0300"
+CACHE_WORDS = 300_000
+BATCH = 300
 
 
 def masked_checksum(data: bytes) -> int:
@@ -59,43 +61,73 @@ def unframe(buffer: bytes, at: int = 0) -> tuple[bytes, int]:
     return data, at + HEAD + size + FOOT
 
 
+def _classes() -> tuple[str, str]:
+    """Letters and numbers below ``PLAIN_BELOW``, as the insides of a character class."""
+    chars = [chr(c) for c in range(ord(PLAIN_BELOW))]
+    return tuple("".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == kind) for kind in "LN")
+
+
+LETTERS, NUMBERS = _classes()
+# The vocabulary's own cut: runs of letters, single numbers, runs of anything else but blanks.
+PARTS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte: printable ones for themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in shown)
+    return [chr(n) for _, n in sorted([(b, b) for b in shown] + [(b, 256 + i) for i, b in enumerate(hidden)])]
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class WordEncoder:
-    """A tokenizers file applied to distinct words, each remembered up to a bound.
+    """A tokenizers file applied to distinct parts of words, remembered up to a bound.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are
-    those of its words in turn. Texts with characters whose case or normal form
-    depends on their neighbours go to the tokenizer whole.
+    The vocabulary drops white space and cuts texts into parts, each encoded by itself,
+    so a text's ids are those of its parts in turn. Texts whose cut or normal form
+    depends on more (apostrophes, combining or far characters, special tokens) go to
+    the tokenizer whole.
     """
 
     def __init__(self, path: str, end_id: int | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tail = [] if end_id is None else [end_id]
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self.end = np.array(self.tail, self.width).tobytes()
+        self.end = np.array([] if end_id is None else [end_id], self.width).tobytes()
 
-    def _plain(self, text: str) -> bool:
-        return not text or (
+    @staticmethod
+    def _plain(text: str) -> bool:
+        return (
             (text.isascii() or max(text) < PLAIN_BELOW)
+            and "'" not in text
             and "<|" not in text
             and not any(c in text for c in "\x1c\x1d\x1e\x1f")
         )
 
+    def _ids(self, part: str) -> bytes:
+        shown = part if part.isascii() and part.isprintable() else "".join([BYTE_CHARS[b] for b in part.encode()])
+        return np.array([t.id for t in self.model.tokenize(shown)], self.width).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.lower().split() if self._plain(t) else None for t in texts]
-        fresh = list({w for ws in cut if ws for w in ws}.difference(self.known))
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known = {}
-            fresh = list({w for ws in cut if ws for w in ws})
-        whole = [t for t, ws in zip(texts, cut) if ws is None]
-        made = self.tokenizer.encode_batch_fast(fresh + whole, add_special_tokens=False)
-        ids = [np.array(e.ids, self.width).tobytes() for e in made]
-        self.known.update(zip(fresh, ids))
-        rest = iter(ids[len(fresh) :])
-        known = self.known
-        return [(next(rest) if ws is None else b"".join([known[w] for w in ws])) + self.end for ws in cut]
+        out = []
+        for text in texts:
+            if not self._plain(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(np.array(ids, self.width).tobytes() + self.end)
+                continue
+            parts = PARTS.findall(text.lower())
+            if len(self.known) > CACHE_WORDS:
+                self.known = {}
+            known = self.known
+            for part in set(parts).difference(known):
+                known[part] = self._ids(part)
+            out.append(b"".join([known[p] for p in parts]) + self.end)
+        return out
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
