@@ -9,20 +9,18 @@ Both things the chain carries are "the last one before me" scans:
 * its endpoints: the last value that an applied create or update stored. Stale
   values are never seen, since an applied create follows every delete.
 
-A group of commands is scanned without knowing whether its id exists when the
-group starts: both cases are kept side by side (``s0, t0`` if absent, ``s1, t1``
-if present; only the first create of the group can tell them apart) and the case
-is chosen later. That serves two ends:
-
-* **A base table** is joined on after the scan, on the ids the log touches. Its
-  rows never enter the sort, and the effect of a log on a table is one join.
-* **Hot ids.** One id may hold a third of the log, and a window per id would put
-  that in one task. So the history of a hot id is cut into chunks of consecutive
-  ``seq`` that are scanned apart. A chunk is summed up in one row, prefix scans
-  over these rows give every chunk its starting state, and that is joined back.
-  ``seq`` is unique, so a chunk of width ``w`` has at most ``w`` rows, and a log
-  that spans ``s`` has at most ``s / w`` chunks per id. With ``w`` at about the
-  root of ``s`` both levels stay small however the log is skewed.
+A hot id may hold a third of the log, and a window per id would put that in one
+task. So the log is laid out once, range-partitioned by ``(id, seq)`` and written
+with the number of its part: parts are cut by rows, whatever the ids or the gaps
+in ``seq``, and a hot id spans several. The commands of an id within a part are a
+piece. Pieces are scanned apart and summed up in one row each, prefix scans over
+these few rows per id give every piece its starting state, and that is joined back.
+
+A piece is scanned without knowing whether its id exists when it starts: both
+cases are kept side by side (``s0, t0`` if absent, ``s1, t1`` if present; only the
+first create of the piece can tell them apart) and the case is chosen later. So a
+base table is joined on the pieces, on the ids the log touches; its rows never
+enter the sort, and the effect of a log on a table is one join.
 """
 
 from __future__ import annotations
@@ -44,13 +42,7 @@ from arcloom.schema import (
     UNKNOWN_OP,
     UPDATE,
 )
-
-# An id with more commands than this is cut into chunks.
-HOT_ROWS = 1_000_000
-# At most this many ids are treated as hot, which bounds their broadcast table.
-HOT_IDS = 100_000
-# Enough that a bucket of ordinary ids stays well within one part in HOT_IDS.
-HASH_BUCKETS = 1 << 18
+from arcloom.session import scratch_path
 
 BIRTHS = (CREATE, CREATE_EMPTY, LOAD)
 COMMAND_COLUMNS = ["seq", "op", *LINK_COLUMNS]
@@ -60,29 +52,24 @@ ABSENT, PRESENT = 0, 1
 EFFECT = ["life", "s0", "t0", "s1", "t1"]
 
 
-def hot_ids(commands: DataFrame, hot_rows: int = HOT_ROWS, chunk_width: int | None = None) -> DataFrame:
-    """Ids with more than ``hot_rows`` commands, and the width of their chunks.
+PIECE = ["id", "part"]
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
 
-    The limit grows with the log to one part in ``HOT_IDS`` of it, so no more than
-    ``HOT_IDS`` ids can pass and the result is safe to broadcast. Ids are first
-    counted together in hash buckets: a bucket within the limit holds no hot id,
-    so only the ids of the few buckets beyond it are counted one by one.
+def laid_out(commands: DataFrame, parts: int | None = None) -> DataFrame:
+    """The log with the ``part`` each command is in, stored in order of ``(id, seq)``.
+
+    ``parts`` is the number of parts, by default that of shuffles.
     """
-    span = F.max("seq").cast("double") - F.min("seq").cast("double") + 1
-    width = F.greatest(F.lit(hot_rows), F.ceil(F.sqrt(span))) if chunk_width is None else F.lit(chunk_width)
-    log = commands.agg(
-        F.struct(F.count(F.lit(1)).alias("rows"), width.cast("bigint").alias("width")).alias("log")
-    ).scalar()
-    beyond = F.col("n") > F.greatest(F.lit(hot_rows), F.floor(log["rows"] / HOT_IDS))
-    ids = commands.select("id", F.pmod(F.xxhash64("id"), F.lit(HASH_BUCKETS)).alias("bucket"))
-    heavy = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(beyond).select("bucket")
-    return (
-        ids.join(F.broadcast(heavy), "bucket", "left_semi")  # at most HOT_IDS buckets
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(beyond)
-        .select("id", log["width"].alias("width"))
-    )
+    parts = parts or int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = commands.select(*COMMAND_COLUMNS).repartitionByRange(parts, "id", "seq")
+    return stored(ranged.withColumn("part", F.spark_partition_id()), "log")
 
 
 # The scans are written as SQL text: the same plan as Column objects would give,
@@ -97,7 +84,7 @@ def _last_before(value: str, keys: list[str], order: str) -> str:
 
 
 def _stored(endpoint: str, start: int) -> str:
-    """The endpoint a command stores if its group started absent or present, else NULL."""
+    """The endpoint a command stores if its piece started absent or present, else NULL."""
     existed = f"coalesce(seen, {start})"
     return f"""CASE
         WHEN op = '{UPDATE}' AND {existed} = {PRESENT} OR op = '{LOAD}' AND {existed} = {ABSENT}
@@ -108,8 +95,8 @@ def _stored(endpoint: str, start: int) -> str:
 
 
 def _scan(commands: DataFrame, keys: list[str]) -> DataFrame:
-    """Commands with ``life``, ``seen`` (existence before, as far as the group
-    tells) and what each stores if its group started absent or present."""
+    """Commands with ``life``, ``seen`` (existence before, as far as the piece
+    tells) and what each stores if its piece started absent or present."""
     life = f"CASE WHEN op IN {BIRTHS} THEN {PRESENT} WHEN op = '{DELETE}' THEN {ABSENT} END"
     return (
         commands.selectExpr("*", f"{life} AS life")
@@ -126,7 +113,7 @@ def _scan(commands: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _sum_up(scanned: DataFrame, keys: list[str]) -> DataFrame:
-    """The effect of each group, one row per group."""
+    """The effect of each piece, one row per piece."""
     last = [F.expr(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN seq END) AS {c}") for c in EFFECT]
     return scanned.groupBy(*keys).agg(*last)
 
@@ -148,7 +135,7 @@ def _outcomes(
         WHEN op IN {BIRTHS} OR op IN ('{UPDATE}', '{DELETE}') THEN '{APPLIED}'
         ELSE '{UNKNOWN_OP}'
     END"""
-    # The case that holds, of the two each group was scanned for.
+    # The case that holds, of the two each piece was scanned for.
     chosen = [f"CASE WHEN existed = {PRESENT} THEN {c}1 ELSE {c}0 END AS {c}" for c in ("bs", "bt", "s", "t")]
     had = f"status = '{APPLIED}' AND op IN ('{UPDATE}', '{DELETE}')"
     has = f"status = '{APPLIED}' AND op <> '{DELETE}'"
@@ -166,100 +153,61 @@ def _outcomes(
     )
 
 
-def _chunked(commands: DataFrame, hot: DataFrame) -> DataFrame:
-    """The commands of hot ids with the chunk each is in."""
-    return commands.join(hot, "id").selectExpr(*COMMAND_COLUMNS, "seq div width AS chunk")
-
-
-def _chunk_starts(chunks: DataFrame, start: DataFrame | None) -> DataFrame:
-    """The state every chunk starts in, from the effects of the chunks before it."""
+def _piece_starts(pieces: DataFrame, start: DataFrame | None, few: bool) -> DataFrame:
+    """The state every piece starts in, from the effects of the pieces of its id before it."""
     if start is None:
-        chunks = chunks.selectExpr("*", f"{ABSENT} AS existed", "0L AS was_s", "0L AS was_t")
+        pieces = pieces.selectExpr("*", f"{ABSENT} AS existed", "0L AS was_s", "0L AS was_t")
     else:
-        chunks = chunks.join(start, "id", "left")
-    earlier = _last_before("life", ["id"], "chunk")
-    stored = {c: f"CASE WHEN existed = {PRESENT} THEN {c}1 ELSE {c}0 END" for c in "st"}
+        pieces = pieces.join(sized(start, few), "id", "left")
+    earlier = _last_before("life", ["id"], "part")
+    held = {c: f"CASE WHEN existed = {PRESENT} THEN {c}1 ELSE {c}0 END" for c in "st"}
     return (
-        chunks.selectExpr(
-            "id",
-            "chunk",
-            *EFFECT[1:],
-            f"coalesce({earlier}, existed, {ABSENT}) AS existed",
-            "was_s",
-            "was_t",
+        pieces.selectExpr(
+            *PIECE, *EFFECT[1:], f"coalesce({earlier}, existed, {ABSENT}) AS existed", "was_s", "was_t"
         )
         .selectExpr(
-            "id",
-            "chunk",
+            *PIECE,
             "existed",
-            *[f"coalesce({_last_before(e, ['id'], 'chunk')}, was_{c}) AS was_{c}" for c, e in stored.items()],
+            *[f"coalesce({_last_before(e, ['id'], 'part')}, was_{c}) AS was_{c}" for c, e in held.items()],
         )
     )
 
 
 def outcomes(
-    commands: DataFrame,
-    base: DataFrame | None = None,
-    hot_rows: int | None = HOT_ROWS,
-    chunk_width: int | None = None,
-    small: bool | None = None,
+    commands: DataFrame, base: DataFrame | None = None, parts: int | None = None, small: bool | None = None
 ) -> DataFrame:
     """Every command with its ``status`` and images (zeros unless applied).
 
     ``base`` is the table the log starts from. If the log touches few ids
-    (checked, or told by ``small``) only those of the base are picked, by a
-    broadcast semi-join; otherwise the base is shuffled once to meet the log.
-    ``hot_rows=None`` promises that no id is hot: one window pass, one shuffle.
+    (counted on its pieces, or told by ``small``) only those of the base are picked,
+    by a broadcast semi-join; otherwise the base is shuffled once to meet the log.
     """
-    rows = commands.select(*COMMAND_COLUMNS)
+    scanned = _scan(laid_out(commands, parts), PIECE)
+    pieces = stored(_sum_up(scanned, PIECE), "pieces")
     start, few = None, False
     if base is not None:
-        touched = rows.select("id").distinct()
-        few = is_small(touched, small)
-        start = base.join(F.broadcast(touched), "id", "left_semi") if few else base
-        start = start.selectExpr(
-            "id", f"{PRESENT} AS existed", "source AS was_s", "target AS was_t"
-        )
-
-    def plain(part: DataFrame) -> DataFrame:
-        return _outcomes(_scan(part, ["id"]), ["id"], start and sized(start, few), ["id"])
+        few = is_small(pieces, small)
+        touched = sized(pieces.select("id").distinct(), few)
+        start = base.join(touched, "id", "left_semi") if few else base
+        start = start.selectExpr("id", f"{PRESENT} AS existed", "source AS was_s", "target AS was_t")
+    return _outcomes(scanned, PIECE, _piece_starts(pieces, start, few), PIECE)
 
-    if hot_rows is None:
-        return plain(rows)
-    hot = F.broadcast(hot_ids(rows, hot_rows, chunk_width))
-    keys = ["id", "chunk"]
-    scanned = _scan(_chunked(rows, hot), keys)
-    if start is not None:
-        start_of_hot = F.broadcast(start.join(hot, "id", "left_semi"))  # at most HOT_IDS
-    starts = _chunk_starts(_sum_up(scanned, keys), None if start is None else start_of_hot)
-    split = _outcomes(scanned, keys, starts, keys)
-    return plain(rows.join(hot, "id", "left_anti")).unionByName(split)
 
-
-def log_effect(
-    commands: DataFrame, hot_rows: int | None = HOT_ROWS, chunk_width: int | None = None
-) -> DataFrame:
+def log_effect(commands: DataFrame, parts: int | None = None) -> DataFrame:
     """What a log does to each id it touches, whatever table it is applied to.
 
     One row ``(id, life, s0, t0, s1, t1)`` per id, see ``EFFECT``.
     """
-    rows = commands.select(*COMMAND_COLUMNS)
-    if hot_rows is None:
-        return _sum_up(_scan(rows, ["id"]), ["id"])
-    hot = F.broadcast(hot_ids(rows, hot_rows, chunk_width))
-    keys = ["id", "chunk"]
-    # Both cases of the id, followed through its chunks.
-    chunks = _sum_up(_scan(_chunked(rows, hot), keys), keys).selectExpr(
-        "*", f"{_last_before('life', ['id'], 'chunk')} AS earlier"
+    # Both cases of the id, followed through its pieces.
+    pieces = stored(_sum_up(_scan(laid_out(commands, parts), PIECE), PIECE), "pieces").selectExpr(
+        "*", f"{_last_before('life', ['id'], 'part')} AS earlier"
     )
-    last = ["max_by(life, CASE WHEN life IS NOT NULL THEN chunk END) AS life"]
+    last = ["max_by(life, CASE WHEN life IS NOT NULL THEN part END) AS life"]
     for start in (ABSENT, PRESENT):
         for c in "st":
             held = f"CASE WHEN coalesce(earlier, {start}) = {PRESENT} THEN {c}1 ELSE {c}0 END"
-            last.append(f"max_by({held}, CASE WHEN {held} IS NOT NULL THEN chunk END) AS {c}{start}")
-    of_hot = chunks.groupBy("id").agg(*map(F.expr, last))
-    cold = rows.join(hot, "id", "left_anti")
-    return _sum_up(_scan(cold, ["id"]), ["id"]).unionByName(of_hot)
+            last.append(f"max_by({held}, CASE WHEN {held} IS NOT NULL THEN part END) AS {c}{start}")
+    return pieces.groupBy("id").agg(*map(F.expr, last))
 
 
 def change_feed(fates: DataFrame) -> DataFrame:
@@ -295,25 +243,23 @@ def latest_links(fates: DataFrame) -> DataFrame:
 
 
 def current_links(
-    commands: DataFrame,
-    base: DataFrame | None = None,
-    hot_rows: int | None = HOT_ROWS,
-    chunk_width: int | None = None,
-    small: bool | None = None,
+    commands: DataFrame, base: DataFrame | None = None, parts: int | None = None, small: bool | None = None
 ) -> DataFrame:
     """The table after all commands.
 
-    The effect of the log is summed up without the base, then joined to it once:
-    by broadcast if it touches few ids, else by a full outer join on ``id``.
+    The effect of the log is summed up without the base and stored, then joined to
+    the base: by broadcast if it touches few ids, else by a full outer join on ``id``.
     """
-    effect = log_effect(commands, hot_rows, chunk_width)
+    effect = log_effect(commands, parts)
+    if base is not None:
+        effect = stored(effect, "effect")
     made = effect.where(F.col("life") == PRESENT).select(
         "id", F.col("s0").alias("source"), F.col("t0").alias("target")
     )
     if base is None:
         return made
     survives = F.col("life").isNull() | (F.col("life") == PRESENT)
-    if is_small(commands.select("id").distinct(), small):
+    if is_small(effect, small):
         kept = (
             base.join(F.broadcast(effect), "id", "left")
             .where(survives)

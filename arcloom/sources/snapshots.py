@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcloom.functions.patterns import Pattern, normalise
-from arcloom.operators.commands import HOT_ROWS, current_links
+from arcloom.operators.commands import BIRTHS, current_links
 from arcloom.operators.ids import allocate_ids
 from arcloom.operators.reads import each
 from arcloom.schema import LINK, LINK_COLUMNS
@@ -120,11 +120,13 @@ class LinkStore:
         partitions: int | None = None,
         next_id: int | None = None,
         label: int | None = None,
+        given: int = 0,
     ) -> Version:
         """Write ``links`` as the next version and make it visible.
 
         The id counter never goes back: it is the highest of the last version's
-        counter and ``max(id) + 1``, unless ``next_id`` is given.
+        counter, ``max(id) + 1`` and ``given + 1``, unless ``next_id`` is set. ``given`` is
+        the highest id ever given out that ``links`` may no longer hold.
         """
         last = self.version()
         number = last.version + 1 if last else 1
@@ -137,7 +139,7 @@ class LinkStore:
                 write_clustered(written, f"{base}/{copy}", COPIES[copy], partitions)
         n, top = written.agg(F.count(F.lit(1)), F.coalesce(F.max("id"), F.lit(0))).first()
         if next_id is None:
-            next_id = max(top + 1, last.next_id if last else 1)
+            next_id = max(top + 1, given + 1, last.next_id if last else 1)
         held = tuple(dict.fromkeys(("by_id", *copies)))
         row = self.spark.createDataFrame([(number, n, next_id, list(held), label)], VERSIONS)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
@@ -154,9 +156,14 @@ class LinkStore:
         copy = choose_copy(pattern, found.copies)
         return each(read_links(self.spark, f"{self.root}/v={found.version}/{copy}"), pattern)
 
-    def apply(self, commands: DataFrame, hot_rows: int | None = HOT_ROWS, **publish) -> Version:
-        """Fold a command log into the latest version and publish the result."""
-        return self.publish(current_links(commands, self.read(), hot_rows), **publish)
+    def apply(self, commands: DataFrame, parts: int | None = None, **publish) -> Version:
+        """Fold a command log into the latest version and publish the result.
+
+        Ids the log creates count as given out, also those it deletes again. (A create
+        that is rejected names an id that exists.)
+        """
+        given = commands.where(F.col("op").isin(*BIRTHS)).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        return self.publish(current_links(commands, self.read(), parts), given=given, **publish)
 
     def add(self, endpoints: DataFrame, order: Sequence[str] = ("source", "target"), **publish) -> Version:
         """Publish the links ``endpoints`` describes beside the present ones.

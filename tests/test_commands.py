@@ -51,7 +51,7 @@ def random_base(seed):
     return [(i, rng.randint(0, 9), rng.randint(0, 9)) for i in range(1, 31) if rng.random() < 0.5]
 
 
-SPLITS = [dict(hot_rows=None), {}, dict(hot_rows=20), dict(hot_rows=3, chunk_width=7), dict(hot_rows=0, chunk_width=1)]
+SPLITS = [dict(parts=1), {}, dict(parts=20), dict(parts=90)]
 
 
 @pytest.mark.parametrize("split", SPLITS, ids=str)
@@ -72,7 +72,7 @@ def test_fold_equals_the_loop(spark, seed, split):
 
 
 @pytest.mark.parametrize("small", [True, False])
-@pytest.mark.parametrize("split", [SPLITS[0], SPLITS[3], SPLITS[4]], ids=str)
+@pytest.mark.parametrize("split", [SPLITS[0], SPLITS[3]], ids=str)
 def test_fold_on_a_base(spark, split, small):
     log, base = random_log(5), random_base(5)
     fates, table = replay(log, base)
@@ -116,12 +116,14 @@ def test_created_ids_are_stored(spark):
     assert cmd.rejects(cmd.outcomes(spark.createDataFrame(log, COMMAND))).count() == 0
 
 
-def test_hot_ids_are_found_and_cut(spark):
-    log = [(n, "update", 1 if n % 3 == 0 else n, 0, 0) for n in range(900)]
-    commands = spark.createDataFrame(log, COMMAND)
-    hot = cmd.hot_ids(commands, hot_rows=100).collect()
-    assert [r.id for r in hot] == [1] and hot[0].width == 100
-    assert cmd.hot_ids(commands).count() == 0
+@pytest.mark.parametrize("gap, far", [(1, 0), (10**14, 0), (1, 9 * 10**18)])
+def test_a_hot_id_is_cut_by_rows(spark, gap, far):
+    """Whatever the gaps in ``seq``, and with one far-off number."""
+    log = [(n * gap, "update", 1 if n % 4 else n, 0, 0) for n in range(4000)] + [(far, "create", 1, None, None)] * bool(far)
+    laid = cmd.laid_out(spark.createDataFrame(log, COMMAND), parts=8)
+    sizes = [r["count"] for r in laid.groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * len(log) / 8
+    assert laid.where("id = 1").select("part").distinct().count() >= 6
 
 
 def test_empty_log(spark):

@@ -65,22 +65,17 @@ def test_few_patterns_leave_the_links_unshuffled(spark, store):
     assert "hashpartitioning" not in text and text.count("FileScan") == 1
 
 
-def test_fold_shuffles_once_when_no_id_is_hot(spark):
-    commands = data.commands(spark, SF_DIR)
-    assert plan(cmd.outcomes(commands, hot_rows=None)).count("Exchange") == 1
-
-
-def test_windows_of_the_fold_are_cut_by_chunk(spark):
-    """Rows in ``seq`` order are windowed by chunk, or by id once hot ids are taken out."""
+def test_fold_reads_the_log_it_laid_out_once_and_cuts_windows_by_piece(spark):
+    """One scan of the laid-out log and one of its pieces; no window over a whole id's commands."""
     text = plan(cmd.outcomes(data.commands(spark, SF_DIR)))
+    assert text.count("FileScan") == 2
     specs = set(re.findall(r"windowspecdefinition\((.*?) ASC", text))
     shapes = {re.sub(r"#\d+L?", "", spec) for spec in specs}
-    assert shapes == {"id, seq", "id, chunk, seq", "id, chunk"}
-    assert "LeftAnti" in text
+    assert shapes == {"id, part, seq", "id, part"}
 
 
 def test_latest_links_combine_map_side(spark):
-    text = plan(cmd.latest_links(cmd.outcomes(data.commands(spark, SF_DIR), hot_rows=None)))
+    text = plan(cmd.latest_links(cmd.outcomes(data.commands(spark, SF_DIR))))
     assert "SortAggregate" not in text and "partial_max_by" in text
 
 

@@ -70,3 +70,12 @@ def test_create_is_idempotent_and_added_links_continue_the_counter(spark, store)
     store.apply(spark.createDataFrame([(1, "delete", 3, None, None)], COMMAND), copies=())
     assert store.add(pairs.limit(1), copies=()).next_id == 5
     assert rows(store.read().select("id")) == [(1,), (2,), (4,)]
+
+
+def test_a_deleted_id_is_not_given_again(spark):
+    store = LinkStore(spark, scratch_path(spark, "test-counter"))
+    store.create()
+    log = [(1, "create", 1, None, None), (2, "create", 2, None, None), (3, "delete", 2, None, None)]
+    assert store.apply(spark.createDataFrame(log, COMMAND)).next_id == 3
+    store.add(spark.createDataFrame([(1, 1)], "source bigint, target bigint"))
+    assert [r[0] for r in rows(store.read())] == [1, 3]

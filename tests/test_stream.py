@@ -26,7 +26,7 @@ def run(spark):
         def both(fates, batch_id):
             fates.persist()
             fates.write.mode("overwrite").parquet(f"{root}/out/v={batch_id}")
-            sink.write_batch(fates, batch_id)
+            sink.write_batch(fates, batch_id, "test")
             fates.unpersist()
 
         (
@@ -62,15 +62,14 @@ def test_sink_gives_the_table_after_every_batch(run):
 def test_repeated_batch_and_compaction(spark, run):
     log, sink, out = run
     expected = replay(log)[1]
-    sink.write_batch(out.where(F.col("v") == 2).drop("v"), 2)
+    sink.write_batch(out.where(F.col("v") == 2).drop("v"), 2, "test")
     assert rows(sink.links()) == expected
     version = sink.compact()
-    # The replayed batch changed nothing, so the one before it is the last covered.
-    assert version.n_links == len(expected) and version.label == 2
+    assert version.n_links == len(expected) and version.label == 3
     assert rows(sink.links()) == expected
     assert rows(sink.links(1)) == replay(log[:160])[1]
     made = [(10**6, "create", 500, None, None), (10**6 + 1, "delete", log[-1][2], None, None)]
-    sink.write_batch(cmd.outcomes(spark.createDataFrame(made, COMMAND), sink.links()), 4)
+    sink.write_batch(cmd.outcomes(spark.createDataFrame(made, COMMAND), sink.links()), 4, "test")
     assert rows(sink.links()) == replay([*log, *made])[1]
     assert rows(sink.links(3)) == expected
 
@@ -94,8 +93,53 @@ def test_folding_batches_equals_the_loop(spark):
     sink = FeedSink(spark, scratch_path(spark, "test-fold"))
     sink.store.publish(spark.createDataFrame(base, LINK), copies=(), label=-1)
     for batch, part in enumerate((log[:80], log[80:160], log[160:], log[160:])):
-        sink.fold_batch(spark.createDataFrame(part, COMMAND), min(batch, 2))
+        sink.fold_batch(spark.createDataFrame(part, COMMAND), min(batch, 2), "test")
     fates, table = replay(log, base)
     assert rows(sink.feed().drop("v")) == fates
     assert rows(sink.links()) == table
     assert rows(sink.links(0)) == replay(log[:80], base)[1]
+
+
+@pytest.mark.parametrize("compacted", [False, True])
+def test_a_new_checkpoint_neither_overwrites_nor_hides(spark, compacted):
+    sink = FeedSink(spark, scratch_path(spark, "test-restart"))
+
+    def stream(part, checkpoint):
+        root = scratch_path(spark, "test-in")
+        spark.createDataFrame(part, COMMAND).write.parquet(root)
+        rows = spark.readStream.schema(COMMAND).parquet(root)
+        sink.start(stream_outcomes(rows), scratch_path(spark, checkpoint), availableNow=True).awaitTermination()
+
+    stream([(1, "create", 1, None, None), (2, "create", 2, None, None)], "one")
+    if compacted:
+        sink.compact()
+    stream([(3, "create", 3, None, None)], "two")
+    assert [r[0] for r in rows(sink.links())] == [1, 2, 3]
+    assert [r[0] for r in rows(sink.links(0))] == [1, 2]
+
+
+def test_late_commands_of_folded_batches(spark):
+    """What comes at or below the last handled command of its id changes nothing, after a rejected one too."""
+    sink = FeedSink(spark, scratch_path(spark, "test-late"))
+    batches = [
+        [(10, "create", 1, None, None), (12, "update", 2, 5, 5)],
+        [(5, "delete", 1, None, None), (11, "create", 2, None, None), (10, "create", 1, None, None)],
+        [(11, "update", 1, 7, 8), (11, "update", 1, 7, 8), (13, "create", 2, None, None)],
+    ]
+    for n, part in enumerate(batches):
+        sink.fold_batch(spark.createDataFrame(part, COMMAND), n)
+        if n == 1:
+            sink.compact()
+    found = sorted((r.v, r.seq, r.id, r.status) for r in sink.feed().collect())
+    assert found == [
+        (0, 10, 1, "applied"), (0, 12, 2, "not_exists"), (1, 5, 1, "late"), (1, 10, 1, "late"), (1, 11, 2, "late"),
+        (2, 11, 1, "applied"), (2, 11, 1, "late"), (2, 13, 2, "applied"),
+    ]
+    assert rows(sink.links()) == [(1, 7, 8), (2, 2, 2)]
+
+
+def test_compaction_never_gives_an_id_twice(spark):
+    sink = FeedSink(spark, scratch_path(spark, "test-counter"))
+    log = [(1, "create", 1, None, None), (2, "create", 9, None, None), (3, "delete", 9, None, None)]
+    sink.fold_batch(spark.createDataFrame(log, COMMAND), 0)
+    assert sink.compact().next_id == 10
