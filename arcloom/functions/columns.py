@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def to_reference(value: Column) -> Column:
-    """A link reference from an untrusted value: bad, missing or negative gives 0."""
-    return F.greatest(F.coalesce(value.try_cast("bigint"), F.lit(0)), F.lit(0))
-
-
 def tenths(value: Column) -> Column:
     """A non-negative double as text with one decimal, correctly rounded.
 

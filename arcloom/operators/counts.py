@@ -22,6 +22,7 @@ from arcloom.operators.reads import (
 )
 from arcloom.operators.sizing import is_small
 from arcloom.schema import PATTERN_COLUMNS
+from arcloom.session import scratch_path
 
 
 def count_links(links: DataFrame, pattern: Pattern = ()) -> DataFrame:
@@ -57,9 +58,10 @@ def count_patterns(links: DataFrame, patterns: DataFrame, small: bool | None = N
     * Few patterns (checked): equal ones are merged and broadcast against one
       scan of the links, and the hits are summed map-side; the link table is
       never shuffled.
-    * Many patterns: links are counted per key before the shuffle, so a hub is
-      one partial row per task, and each pattern picks up its key's count. Equal
-      patterns may crowd one key of the left side, which AQE can split.
+    * Many patterns: equal ones are merged, the links are narrowed to the keys asked
+      for and counted per key before the shuffle, so a hub is one partial row per
+      task. The counts are stored and joined back to the patterns: both sides of
+      that join are plain tables, so AQE can split a pattern asked very often.
 
     An all-ANY pattern takes the table's total from a scalar subquery.
     """
@@ -86,13 +88,22 @@ def count_patterns(links: DataFrame, patterns: DataFrame, small: bool | None = N
 
 
 def _count_many(links: DataFrame, keyed: DataFrame, total: Column) -> DataFrame:
-    parts = [keyed.where(F.col("how") == BY_NOTHING).select("pid", total.alias("n"))]
-    per_key = {BY_PAIR: pair_multiplicity, BY_SOURCE: out_degree, BY_TARGET: in_degree}
-    for how, count in per_key.items():
-        asked, equal = by_way(keyed, how)
-        counted = asked.join(count(links), equal, "left")
-        parts.append(counted.select("pid", F.coalesce("n", F.lit(0)).alias("n")))
-    asked, equal = by_way(keyed, BY_ID)
-    hits = asked.join(links, [*equal, residual()], "left")
-    parts.append(hits.groupBy("pid").agg(F.count("id").alias("n")))
-    return reduce(DataFrame.unionByName, parts)
+    distinct = keyed.drop("pid").distinct()
+    names = {BY_PAIR: ["source", "target"], BY_SOURCE: ["source"], BY_TARGET: ["target"]}
+    parts = []
+    for how, columns in names.items():
+        asked, equal = by_way(distinct, how)
+        per_key = links.join(asked.hint("merge"), equal, "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(asked.join(per_key.hint("merge"), equal).select(*PATTERN_COLUMNS, "n"))
+    asked, equal = by_way(distinct, BY_ID)
+    hits = links.join(asked.hint("merge"), [*equal, residual()])
+    parts.append(hits.groupBy(*PATTERN_COLUMNS).agg(F.count(F.lit(1)).alias("n")))
+    path = scratch_path(links.sparkSession, "pattern-counts")
+    reduce(DataFrame.unionByName, parts).write.parquet(path)
+    found = links.sparkSession.read.parquet(path)
+    p, c = keyed.alias("p"), found.hint("merge").alias("c")
+    same = [F.col(f"p.{name}").eqNullSafe(F.col(f"c.{name}")) for name in PATTERN_COLUMNS]
+    return p.join(c, same, "left").select(
+        F.col("p.pid").alias("pid"),
+        F.when(F.col("p.how") == BY_NOTHING, total).otherwise(F.coalesce("c.n", F.lit(0))).alias("n"),
+    )

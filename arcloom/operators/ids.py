@@ -51,12 +51,40 @@ def allocate_ids(
     )
 
 
+def free_ranges(links: DataFrame, next_id: int | None = None, partitions: int | None = None) -> DataFrame:
+    """Runs ``(first, last)`` of ids that no link holds, below ``next_id`` or the highest id.
+
+    The ids are range-partitioned and stored; each part compares neighbours, and the
+    first id of every part is met by the last before it, one row per part. The work
+    follows the number of links, however far apart their ids are.
+    """
+    spark = links.sparkSession
+    path = scratch_path(spark, "id-parts")
+    ids = links.select("id").where("id > 0")
+    ranged = ids.repartitionByRange(partitions, "id") if partitions else ids.repartitionByRange("id")
+    ranged.withColumn("part", F.spark_partition_id()).write.parquet(path)
+    staged = spark.read.parquet(path)
+    before = F.lag("id").over(Window.partitionBy("part").orderBy("id"))
+    inner = staged.select(before.alias("low"), F.col("id").alias("high"))
+    # One row per part.
+    edges = staged.groupBy("part").agg(F.min("id").alias("high"), F.max("id").alias("top"))
+    low = F.coalesce(F.lag("top").over(Window.orderBy("part")), F.lit(0))
+    pairs = inner.where("low IS NOT NULL").unionByName(edges.select(low.alias("low"), "high"))
+    if next_id is not None:
+        end = staged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("low")).withColumn("high", F.lit(next_id))
+        pairs = pairs.withColumn("high", F.least("high", F.lit(next_id))).unionByName(end)
+    gaps = pairs.select((F.col("low") + 1).alias("first"), (F.col("high") - 1).alias("last"))
+    return gaps.where("first <= last")
+
+
 def free_ids(links: DataFrame, next_id: int | None = None) -> DataFrame:
     """Ids below ``next_id`` that no link holds; by default up to the highest id.
 
-    Ids come from a counter, so the range is about as long as the number of links
-    ever created, and it is generated on the executors.
+    One row per free id. ``free_ranges`` tells the same in as many rows as there are gaps.
     """
-    if next_id is None:
-        next_id = (links.agg(F.max("id")).first()[0] or 0) + 1
-    return links.sparkSession.range(1, max(next_id, 1)).join(links.select("id"), "id", "left_anti")
+    block = 1 << 20
+    blocks = free_ranges(links, next_id).select(
+        "last", F.explode(F.sequence("first", "last", F.lit(block).cast("bigint"))).alias("first")
+    )
+    last = F.least(F.col("last"), F.col("first") + (block - 1))
+    return blocks.select(F.explode(F.sequence("first", last)).alias("id"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from arcloom.functions.patterns import Pattern, predicate
-from arcloom.operators.sizing import BROADCAST_ROWS, is_small
+from arcloom.operators.sizing import BROADCAST_ROWS, is_small, sized
 from arcloom.schema import LINK_COLUMNS, MAX_LONG, PATTERN_COLUMNS
 
 # How a pattern finds its candidates: by the most selective bound positions.
@@ -134,6 +134,11 @@ def by_way(keyed: DataFrame, how: int) -> tuple[DataFrame, list[Column]]:
     return keyed.where(F.col("how") == how), [F.col(c) == F.col(f"p_{c}") for c in equal[how]]
 
 
+def _shuffled(links: DataFrame, keyed: DataFrame, how: int) -> DataFrame:
+    asked, equal = by_way(keyed, how)
+    return links.join(asked.hint("merge"), equal)
+
+
 def match_patterns(
     links: DataFrame, patterns: DataFrame, allow_all: bool = False, small: bool | None = None
 ) -> DataFrame:
@@ -149,13 +154,12 @@ def match_patterns(
       shuffled rows narrow and leaves AQE free to split a hub on either side.
 
     A pattern with every position ANY pairs with the whole table. It is refused
-    unless ``allow_all`` is set, and is never dropped silently. Patterns like that
-    are broadcast; more of them than may be are refused in any case, as the answer
-    would be as many copies of the table.
+    unless ``allow_all`` is set, and is never dropped silently; with it, any number of
+    such patterns is answered, each with a copy of the table.
     """
     unbound = F.coalesce(*PATTERN_COLUMNS).isNull()
     n, n_any = patterns.agg(F.count(F.lit(1)), F.count_if(unbound)).first()
-    if n_any > (BROADCAST_ROWS if allow_all else 0):
+    if n_any and not allow_all:
         raise ValueError(f"{n_any} patterns match every link; see allow_all")
     keyed = keyed_patterns(patterns)
 
@@ -168,7 +172,11 @@ def match_patterns(
     if few:
         parts = [probed([*ways, BY_NOTHING] if n_any else ways)]
     else:
-        parts = [links.join(*by_way(keyed, how)).where(residual()) for how in ways]
+        # Only the ways that are asked for; each is a shuffled join, not one that
+        # the planner may turn into a broadcast again.
+        asked = [r.how for r in keyed.groupBy("how").count().collect()]
+        parts = [_shuffled(links, keyed, how).where(residual()) for how in ways if how in asked or how == ways[0]]
         if n_any:
-            parts.append(probed([BY_NOTHING]))
+            everything = keyed.where(F.col("how") == BY_NOTHING)
+            parts.append(links.crossJoin(sized(everything, n_any <= BROADCAST_ROWS)))
     return reduce(DataFrame.unionByName, [p.select("pid", *LINK_COLUMNS) for p in parts])

@@ -58,16 +58,19 @@ def each_concrete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def each_mixed_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An id with its endpoints, bound the ways no other single-pattern query has."""
     links = data.links(spark, sf_dir)
-    source, target = links.where("id = 77").select("source", "target").first()
-    masks = [[77, source, None], [77, None, target], [77, source, target], [77, source + 1, None], [77]]
-    parts = [
-        reads.each(links, m).select(F.lit(n).cast("bigint").alias("mask"), "*")
-        for n, m in enumerate(masks)
+    nothing = F.lit(None).cast("bigint")
+    masks = [("source", None), (None, "target"), ("source", "target"), ("source + 1", None), (None, None)]
+    bound = [
+        F.struct(
+            F.lit(n).cast("bigint").alias("pid"),
+            F.col("id").alias("p_id"),
+            (F.expr(source) if source else nothing).alias("p_source"),
+            (F.expr(target) if target else nothing).alias("p_target"),
+        )
+        for n, (source, target) in enumerate(masks)
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    patterns = links.where("id = 77").select(F.inline(F.array(*bound)))
+    return reads.match_patterns(links, patterns).withColumnRenamed("pid", "mask")
 
 
 @query
@@ -211,6 +214,12 @@ def free_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.free_ids(writes.bulk_delete(links, data.deletes(spark, sf_dir)))
 
 
+@query
+def free_id_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = data.links(spark, sf_dir)
+    return ids.free_ranges(writes.bulk_delete(links, data.deletes(spark, sf_dir)))
+
+
 # Command logs
 
 
@@ -221,8 +230,8 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def change_feed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same feed with ids of more than 50 commands cut into chunks."""
-    return cmd.change_feed(cmd.outcomes(data.commands(spark, sf_dir), hot_rows=50))
+    """The same feed from so many parts that ordinary ids are cut into pieces too."""
+    return cmd.change_feed(cmd.outcomes(data.commands(spark, sf_dir), parts=64))
 
 
 @query
@@ -270,6 +279,34 @@ def clustered_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _published(spark, sf_dir, "by_target").each([None, None, 42])
 
 
+@query
+def clustered_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir).each([77])
+
+
+@query
+def clustered_concrete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, "by_source").each([None, 3, 17])
+
+
+@query
+def clustered_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_links(_published(spark, sf_dir, "by_source").each([None, 7, None]))
+
+
+@query
+def store_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New links after the link with the highest id was deleted: its id is not given again."""
+    store = _published(spark, sf_dir)
+    top = counts.max_id(store.read()).select(
+        F.lit(1).cast("bigint").alias("seq"), F.lit("delete").alias("op"), F.col("max_id").alias("id"),
+        F.lit(None).cast("bigint").alias("source"), F.lit(None).cast("bigint").alias("target"),
+    )
+    store.apply(top, copies=())
+    store.add(data.pairs(spark, sf_dir), copies=())
+    return store.read()
+
+
 @query
 def snapshot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A version read back after a later one was published over it."""
@@ -307,6 +344,11 @@ def document_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.document_rejects(documents.parse_documents(data.documents(spark, sf_dir)))
 
 
+@query
+def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.document_numbers(documents.parse_documents(data.count_documents(spark, sf_dir)))
+
+
 # Benchmark logs
 
 
@@ -324,6 +366,20 @@ def bench_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchlog.failure_lines(data.bench_lines(spark, sf_dir))
 
 
+@query
+def bench_log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of a log read as text files."""
+    path = scratch_path(spark, "log")
+    data.bench_lines(spark, sf_dir).select("line").write.text(path)
+    order = ("file", "block", "row")
+    return benchlog.parse_lines(benchlog.read_log(spark, path), order=order).select("op", "backend", "ns", "dev")
+
+
+@query
+def bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.report_lines(report.speedups(report.comparison(_figures(spark, sf_dir))))
+
+
 @query
 def bench_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.comparison(_figures(spark, sf_dir))
@@ -389,6 +445,33 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.links()
 
 
+@query
+def stream_compacted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of a stream whose first half was compacted and whose second has a new checkpoint."""
+    out = scratch_path(spark, "stream-compacted")
+    sink = FeedSink(spark, out)
+    events = data.table(spark, sf_dir, "events")
+    middle = events.agg((F.max("event_id") / 2).cast("bigint").alias("m")).scalar()
+    for n, half in enumerate((F.col("event_id") <= middle, F.col("event_id") > middle)):
+        events.where(half).write.parquet(f"{out}/in-{n}")
+        stream = data.as_commands(spark.readStream.schema(events.schema).parquet(f"{out}/in-{n}"))
+        sink.start_folding(stream, f"{out}/checkpoint-{n}", availableNow=True).awaitTermination()
+        if n == 0:
+            sink.compact(copies=())
+    return sink.links()
+
+
+@query
+def stream_late_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the commands of a stream fared that came once more in a second micro-batch."""
+    out = scratch_path(spark, "stream-late")
+    sink = FeedSink(spark, out)
+    commands = data.commands(spark, sf_dir)
+    for batch in range(2):
+        sink.fold_batch(commands, batch, "replay")
+    return sink.feed().groupBy("v", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def stream_folded_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change feed of a stream whose micro-batches are folded on the table so far."""

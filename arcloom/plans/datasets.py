@@ -121,6 +121,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", F.concat(F.lit("1f4\r\n"), body, F.lit("\r\n0\r\n")).alias("body"))
 
 
+def count_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count response for every source: its number of links; some are none, text or negative."""
+    counted = links(spark, sf_dir).groupBy(F.col("source").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    cell = (
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('"'), F.col("n"), F.lit('"')))
+        .when(F.col("doc_id") % 7 == 0, F.concat(F.lit("-"), F.col("n")))
+        .otherwise(F.col("n").cast("string"))
+    )
+    rows = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('{"row":['), cell, F.lit("]}")))
+    body = F.concat(F.lit('{"results":[{"columns":["count"],"data":['), rows, F.lit(']}],"errors":[]}'))
+    return counted.select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.lit("{")).otherwise(body).alias("body"))
+
+
 def bench_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a line of a benchmark log: a figure, noise or a failure."""
     raw_ops = [

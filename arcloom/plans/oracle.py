@@ -259,3 +259,31 @@ ORACLE["match_patterns_shuffled"] = ORACLE["match_patterns"]
 ORACLE["count_patterns_shuffled"] = ORACLE["count_patterns"]
 ORACLE["change_feed_split"] = CHANGE_FEED
 ORACLE["stream_folded_feed"] = CHANGE_FEED
+ORACLE["clustered_identity"] = ORACLE["each_identity"]
+ORACLE["clustered_concrete"] = ORACLE["each_concrete"]
+ORACLE["clustered_count"] = ORACLE["count_by_pattern"]
+ORACLE["stream_compacted_links"] = CURRENT
+ORACLE["store_add"] = f"""with {LINKS}, top as (select max(id) as top from links), fresh as (
+        select distinct l_partkey + 1 as source, l_suppkey + 1 as target from lineitem)
+    select id, source, target from links, top where id < top union all
+    select top + row_number() over (order by source, target), source, target from fresh, top"""
+ORACLE["free_id_ranges"] = f"""with {LINKS}, {DELETES},
+    kept as (select id from links where id not in (select id from deletes)),
+    pairs as (select coalesce(lag(id) over (order by id), 0) as low, id as high from kept)
+    select low + 1 as "first", high - 1 as "last" from pairs where high - low > 1"""
+ORACLE["document_numbers"] = f"""with {LINKS}
+    select source as doc_id,
+           case when source % 3 = 0 or source % 5 = 0 or source % 7 = 0 then 0 else count(*) end as n
+    from links where source % 11 <> 0 group by source"""
+ORACLE["bench_log_text"] = f"with {BENCH} select op, backend, ns, dev from parsed"
+ORACLE["stream_late_commands"] = f"""with {_fates(False)}
+    select cast(0 as bigint) as v, status, count(*) as n from fates group by status
+    union all select 1, 'late', count(*) from fates"""
+_LABELS = ["Operation", *(f"Local {n}" for n in ("United Volatile", "United NonVolatile", "Split Volatile", "Split NonVolatile")),
+           "Remote NonTransaction", "Remote Transaction"]
+_WIDTHS = [13, *map(len, _LABELS[1:])]
+ORACLE["bench_report"] = f"""with said as ({ORACLE["bench_speedup"]})
+    select cast(0 as bigint) as n, '| {" | ".join(c.ljust(w) for c, w in zip(_LABELS, _WIDTHS))} |' as line
+    union all select 1, '|{"|".join("-" * (w + 2) for w in _WIDTHS)}|'
+    union all select rank + 2, '| ' || {" || ' | ' || ".join(
+        f"rpad({c}, cast(greatest(length({c}), {w}) as int), ' ')" for c, w in zip(["op", *IN_PROCESS, *REMOTE], _WIDTHS))} || ' |' from said"""

@@ -30,8 +30,17 @@ def operations(spark: SparkSession) -> DataFrame:
 
 
 def last_figures(parsed: DataFrame, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
-    """One figure per operation and backend: the last in the log."""
-    place = F.struct(*order, "pos")
+    """One figure per operation and backend: the last in the log.
+
+    ``order`` is one rising number per line, or several columns. A number and the
+    place within the line are packed into one decimal, which a hash aggregate can
+    hold; several columns are compared as a struct, by sorting.
+    """
+    if len(order) == 1:
+        place = F.col(order[0]).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")
+        place = place.cast("decimal(38,0)")
+    else:
+        place = F.struct(*order, "pos")
     return parsed.groupBy("op", "backend").agg(F.max_by("ns", place).alias("ns"))
 
 
@@ -100,8 +109,8 @@ def missing_figures(figures: DataFrame) -> DataFrame:
     return grid.join(figures, ["op", "backend"], "left_anti")
 
 
-def markdown(texts: DataFrame, families: Families = Families()) -> str:
-    """The report as a markdown table. Collects its rows: one per operation."""
+def report_lines(texts: DataFrame, families: Families = Families()) -> DataFrame:
+    """The report as lines of a markdown table, ``(n, line)``."""
     labels = [
         "Operation",
         *(f"{families.local} {name}" for name in (
@@ -110,10 +119,21 @@ def markdown(texts: DataFrame, families: Families = Families()) -> str:
         *(f"{families.remote} {name}" for name in ("NonTransaction", "Transaction")),
     ]
     widths = [max(map(len, OPERATIONS)), *map(len, labels[1:])]
-    table = [labels, *([r["op"], *(r[b] for b in BACKENDS)] for r in texts.orderBy("rank").collect())]
-    lines = [
-        "| " + " | ".join(cell.ljust(width) for cell, width in zip(cells, widths)) + " |"
-        for cells in table
+
+    def cell(value: Column, width: int) -> Column:
+        return F.rpad(value, F.greatest(F.length(value), F.lit(width)), F.lit(" "))
+
+    cells = [cell(F.col(c), w) for c, w in zip(["op", *BACKENDS], widths)]
+    rows = texts.select(
+        (F.col("rank") + 2).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")
+    )
+    head = [
+        (0, "| " + " | ".join(label.ljust(width) for label, width in zip(labels, widths)) + " |"),
+        (1, "|" + "|".join("-" * (width + 2) for width in widths) + "|"),
     ]
-    lines.insert(1, "|" + "|".join("-" * (width + 2) for width in widths) + "|")
-    return "\n".join(lines)
+    return texts.sparkSession.createDataFrame(head, "n bigint, line string").unionByName(rows)
+
+
+def markdown(texts: DataFrame, families: Families = Families()) -> str:
+    """The report as a markdown table. Collects its lines: one per operation, and two."""
+    return "\n".join(r.line for r in report_lines(texts, families).orderBy("n").collect())

@@ -16,6 +16,9 @@ FIGURE = (
 )
 TRANSACTION, UNITED, VOLATILE = "Transaction", "United", "Volatile"
 FAILURE = r"panicked|bench failed"
+# A test whose figure does not follow on its line.
+CUT_SHORT = r"test\s+\w+/\w+\s+\.\.\.\s*(?:bench:\s*)?$"
+NUMBERS = r"bench:\s+(\d+)\s+ns/iter\s+\(\+/-\s+(\d+)\)"
 TERMINAL_CODE = r"\x1B?\[[0-9;]*m"
 
 # Backends in report order: in-process by layout and storage, then remote.
@@ -57,7 +60,8 @@ def parse_lines(
 ) -> DataFrame:
     """Every figure in the log: order columns, ``pos``, ``op``, ``backend``, ``ns``, ``dev``.
 
-    Lines without a figure give nothing. In-process backends carry a layout and a
+    Lines without a figure give nothing, figures beyond a bigint neither: see
+    ``unread_lines``. In-process backends carry a layout and a
     storage part, remote ones a mode; unknown values fall to split, non-volatile
     and non-transaction.
     """
@@ -86,12 +90,28 @@ def parse_lines(
             F.col("pos").cast("bigint").alias("pos"),
             F.regexp_replace(op, "_", " ").alias("op"),
             backend.alias("backend"),
-            ns.cast("bigint").alias("ns"),
-            dev.cast("bigint").alias("dev"),
+            ns.try_cast("bigint").alias("ns"),
+            dev.try_cast("bigint").alias("dev"),
         )
+        .where(F.col("ns").isNotNull() & F.col("dev").isNotNull())
     )
 
 
 def failure_lines(lines: DataFrame) -> DataFrame:
     """Lines that tell of a failed run; terminal colour codes do not hide them."""
     return lines.where(F.regexp_replace("line", TERMINAL_CODE, "").rlike(FAILURE))
+
+
+def unread_lines(lines: DataFrame) -> DataFrame:
+    """Lines whose figure ``parse_lines`` could not read, so that none is lost without a trace.
+
+    A test that ends before its figure (it may follow on the next line), and a figure
+    beyond a bigint.
+    """
+
+    def too_large(group: int):
+        found = F.regexp_extract_all("line", F.lit(NUMBERS), F.lit(group))
+        return F.exists(found, lambda n: n.try_cast("bigint").isNull())
+
+    cut_short = F.regexp_replace("line", TERMINAL_CODE, "").rlike(CUT_SHORT)
+    return lines.where(cut_short | too_large(1) | too_large(2))

@@ -72,6 +72,11 @@ def _rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc_id", F.explode("data.row").alias("row"))
 
 
+def _one_each(parsed: DataFrame, value: Column) -> DataFrame:
+    # What is exploded is computed once; a filter on it stays above.
+    return parsed.select("doc_id", F.explode(F.array(value)).alias("d"))
+
+
 def document_links(parsed: DataFrame) -> DataFrame:
     """The links of all good documents; rows of fewer than three cells are skipped."""
     rows = _rows(parsed).where(F.size("row") >= 3)
@@ -87,11 +92,11 @@ def document_numbers(parsed: DataFrame) -> DataFrame:
     """The single number of a count response: first cell of the first row, else 0."""
     first = F.get(F.get("data", F.lit(0))["row"], F.lit(0))
     number = F.when(F.schema_of_variant(first) == "BIGINT", F.try_variant_get(first, "$", "bigint"))
-    return parsed.where(F.col("status") == OK).select(
-        "doc_id", F.greatest(F.coalesce(number, F.lit(0)), F.lit(0)).alias("n")
-    )
+    one = F.struct("status", F.greatest(F.coalesce(number, F.lit(0)), F.lit(0)).alias("n"))
+    return _one_each(parsed, one).where(F.col("d.status") == OK).select("doc_id", "d.n")
 
 
 def document_rejects(parsed: DataFrame) -> DataFrame:
     """Documents that gave no links because they failed or could not be read."""
-    return parsed.where(F.col("status") != OK).select("doc_id", "status", "message")
+    told = _one_each(parsed, F.struct("status", "message"))
+    return told.where(F.col("d.status") != OK).select("doc_id", "d.status", "d.message")

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from arcloom.operators import commands as cmd
 from arcloom.operators import counts, reads, writes
 from arcloom.plans import datasets as data
+from arcloom.plans import report
 from arcloom.session import scratch_path
+from arcloom.sources import benchlog, documents
 from arcloom.sources.snapshots import LinkStore
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -79,6 +81,24 @@ def test_latest_links_combine_map_side(spark):
     assert "SortAggregate" not in text and "partial_max_by" in text
 
 
+def test_many_patterns_are_shuffled(spark, store):
+    patterns = spark.createDataFrame([(1, None, 5, None), (2, 3, None, None)], "pid bigint, p_id bigint, p_source bigint, p_target bigint")
+    for ask in (reads.match_patterns, counts.count_patterns):
+        df = ask(store.read(), patterns, small=False)
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_small_plans(spark):
+    """The last figures are kept in a hash aggregate; a document is parsed once."""
+    lines = data.bench_lines(spark, SF_DIR)
+    assert "SortAggregate" not in plan(report.last_figures(benchlog.parse_lines(lines)))
+    parsed = documents.parse_documents(data.documents(spark, SF_DIR))
+    for read in (documents.document_rejects, documents.document_numbers):
+        assert read(parsed)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_bulk_writes_with_few_requests_do_not_shuffle_the_links(spark, store):
     few = spark.createDataFrame([(1, 2, 3)], "id bigint, source bigint, target bigint")
     for df in (

@@ -142,3 +142,15 @@ def test_lines_of_a_split_file_keep_their_order(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [tuple(r) for r in got] == [("Create", "united_volatile", 19999)]
+
+
+def test_figures_that_cannot_be_read_are_told(spark):
+    lines = [
+        (1, "test Create/Local_United_Volatile ... bench: 99999999999999999999 ns/iter (+/- 1)"),
+        (2, "test Update/Local_United_Volatile ..."),
+        (3, "test Delete/Local_United_Volatile ... bench: 12 ns/iter (+/- 1)"),
+        (4, "plain"),
+    ]
+    df = spark.createDataFrame(lines, "line_no bigint, line string")
+    assert [r.line_no for r in benchlog.parse_lines(df).collect()] == [3]
+    assert sorted(r.line_no for r in benchlog.unread_lines(df).collect()) == [1, 2]
