@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the local cores. Each query runs whole
 into a sink that discards rows; the figure is the best of BENCH_RUNS runs after
-one to warm up.
+one to warm up. BENCH_SHARED_DIR holds intermediate tables.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -118,6 +119,8 @@ def main() -> None:
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="16g",
+        # One machine, one process: a folder of its own is shared by all there is.
+        spark__checkpoint__dir=os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-"),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )
