@@ -92,6 +92,11 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
         # How many terms of this step a window has; shorter windows may have none left.
         wanted = asked.groupBy("window").agg(F.count("*").alias("wanted"))
         found = _stored(found, "starts")
+        left = found.select(F.col("doc_id").alias("d"), F.col("version").alias("v")).distinct()
+        if left.count() <= BROADCAST_ROWS:
+            # Postings of documents that are out already need not be shuffled.
+            still = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))
+            lists = lists.join(F.broadcast(left), still, "left_semi")
         need = found.join(sized(asked, few), "window").withColumn("pos", F.col("start") + F.col("at"))
         held = need.alias("n").join(
             lists.alias("l"),
