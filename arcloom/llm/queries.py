@@ -178,10 +178,7 @@ def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = scratch_path(spark, "records")
     index = records.write_records(docs, folder, WORDS_FILE, end_id=2)
-    read = records.read_records(records.starts(index), folder)
-    return read.select(
-        "doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), records.ids_crc32(F.col("ids")).alias("ids_crc32")
-    )
+    return records.read_digests(records.starts(index), folder)
 
 
 @query

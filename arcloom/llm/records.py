@@ -23,7 +23,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from arcloom.session import scratch_path
 
@@ -33,6 +32,10 @@ FOOT = 4
 MASK = 0xA282EAD8
 # Below this, characters neither combine nor change case by their neighbours. (Unicode.)
 PLAIN_BELOW = "\u0300"
+FAR = re.compile(f"[^\x00-{chr(ord(PLAIN_BELOW) - 1)}]")
+# Apostrophes cut words by what follows, special tokens are one id, and Python's
+# idea of a blank is wider than the vocabulary's.
+CONTEXT = re.compile("'|<\\||[\x1c-\x1f]")
 CACHE_WORDS = 300_000
 BATCH = 300
 
@@ -96,18 +99,13 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
+        self.known = _Remembered(self._ids)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
         self.end = np.array([] if end_id is None else [end_id], self.width).tobytes()
 
     @staticmethod
     def _plain(text: str) -> bool:
-        return (
-            (text.isascii() or max(text) < PLAIN_BELOW)
-            and "'" not in text
-            and "<|" not in text
-            and not any(c in text for c in "\x1c\x1d\x1e\x1f")
-        )
+        return (text.isascii() or not FAR.search(text)) and not CONTEXT.search(text)
 
     def _ids(self, part: str) -> bytes:
         shown = part if part.isascii() and part.isprintable() else "".join([BYTE_CHARS[b] for b in part.encode()])
@@ -120,16 +118,24 @@ class WordEncoder:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(np.array(ids, self.width).tobytes() + self.end)
                 continue
-            parts = PARTS.findall(text.lower())
             if len(self.known) > CACHE_WORDS:
-                self.known = {}
-            known = self.known
-            for part in set(parts).difference(known):
-                known[part] = self._ids(part)
-            out.append(b"".join([known[p] for p in parts]) + self.end)
+                self.known.clear()
+            out.append(b"".join(map(self.known.__getitem__, PARTS.findall(text.lower()))) + self.end)
         return out
 
 
+class _Remembered(dict):
+    """Parts and their ids; a new part is encoded when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self[part] = self.encode(part)
+        return ids
+
+
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
@@ -216,7 +222,7 @@ def starts(index: DataFrame) -> DataFrame:
     return index.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
-def read_records(index: DataFrame, folder: str, block: int = 8 << 20) -> DataFrame:
+def read_records(index: DataFrame, folder: str, block: int = 4 << 20) -> DataFrame:
     """``(shard, part, row, doc_id, start, ids)`` for the rows of ``index`` (with ``start``), in any order.
 
     The rows may be any, shuffled or not: those a batch has of one shard are read in
@@ -225,25 +231,51 @@ def read_records(index: DataFrame, folder: str, block: int = 8 << 20) -> DataFra
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, path = _open(folder)
-        for frame_ in frames:
-            for shard, rows in frame_.groupby("shard", sort=False):
-                rows = rows.sort_values("offset")
-                with system.open_input_file(f"{path}/{shard}") as file:
-                    for part in _stretches(rows, block):
-                        at = int(part["offset"].iloc[0])
-                        end = int(part["offset"].iloc[-1] + part["size"].iloc[-1])
-                        buffer = file.read_at(end - at, at)
-                        data = [unframe(buffer, int(o) - at)[0] for o in part["offset"]]
-                        ids = [np.frombuffer(d, w).astype(np.int32) for d, w in zip(data, part["width"])]
-                        yield pd.DataFrame({
-                            "shard": shard, "part": part["part"], "row": part["row"],
-                            "doc_id": part["doc_id"].astype("Int64"), "start": part["start"],
-                            "ids": pd.Series(ids, index=part.index, dtype=object),
-                        })
-
-    wanted = index.select("shard", "part", "row", "doc_id", "offset", "size", "start", "width")
-    return wanted.mapInPandas(read, "shard string, part int, row bigint, doc_id bigint, start bigint, ids array<int>")
+        for part, ids in _fetched(frames, folder, block):
+            yield pd.DataFrame({
+                "shard": part["shard"], "part": part["part"], "row": part["row"],
+                "doc_id": part["doc_id"].astype("Int64"), "start": part["start"],
+                "ids": pd.Series([x.astype(np.int32) for x in ids], index=part.index, dtype=object),
+            })
+
+    schema = "shard string, part int, row bigint, doc_id bigint, start bigint, ids array<int>"
+    return index.select(*WANTED).mapInPandas(read, schema)
+
+
+def read_digests(index: DataFrame, folder: str, block: int = 4 << 20) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of the records read back, without their ids.
+
+    ``ids_crc32`` is the checksum of the ids as little-endian unsigned 32-bit integers.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, ids in _fetched(frames, folder, block):
+            yield pd.DataFrame({
+                "doc_id": part["doc_id"].astype("Int64"), "start": part["start"],
+                "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids],
+            })
+
+    return index.select(*WANTED).mapInPandas(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+WANTED = ["shard", "part", "row", "doc_id", "offset", "size", "start", "width"]
+
+
+def _fetched(
+    frames: Iterator[pd.DataFrame], folder: str, block: int
+) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Index rows of one shard that are read at once, with their ids."""
+    system, path = _open(folder)
+    for frame_ in frames:
+        for shard, rows in frame_.groupby("shard", sort=False):
+            rows = rows.sort_values("offset")
+            with system.open_input_file(f"{path}/{shard}") as file:
+                for part in _stretches(rows, block):
+                    at = int(part["offset"].iloc[0])
+                    end = int(part["offset"].iloc[-1] + part["size"].iloc[-1])
+                    buffer = file.read_at(end - at, at)
+                    data = [unframe(buffer, int(o) - at)[0] for o in part["offset"]]
+                    yield part, [np.frombuffer(d, w) for d, w in zip(data, part["width"])]
 
 
 def _stretches(rows: pd.DataFrame, block: int) -> Iterator[pd.DataFrame]:
@@ -254,9 +286,3 @@ def _stretches(rows: pd.DataFrame, block: int) -> Iterator[pd.DataFrame]:
         if i == len(rows) or offsets[i] + sizes[i] - offsets[first] > block:
             yield rows.iloc[first:i]
             first = i
-
-
-@F.pandas_udf(LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """The checksum of each array as little-endian unsigned 32-bit integers."""
-    return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")

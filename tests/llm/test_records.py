@@ -1,5 +1,8 @@
 """Records read back against the tokenizer itself; damage is noticed."""
 
+import struct
+import zlib
+
 import numpy as np
 import pytest
 from data import docs_of, no_docs, odd_docs, prose
@@ -42,6 +45,9 @@ def test_records_read_back_in_any_order(spark):
     for r, ids in zip(rows, want, strict=True):
         assert r.ids == ids and r.start == start
         start += len(ids)
+    told = sorted(records.read_digests(shuffled, folder).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.start, r.n_tokens) for r in told] == [(r.doc_id, r.start, len(r.ids)) for r in rows]
+    assert [r.ids_crc32 for r in told] == [zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) for ids in want]
 
 
 def test_damage_is_noticed():
