@@ -30,7 +30,7 @@ from arcloom.operators.sizing import BROADCAST_ROWS, sized
 SHINGLE = 5
 LIKENESS = 0.8
 BANDS, ROWS = 40, 6  # at a likeness of 0.8 a link escapes all bands once in 190,000
-REST_BUCKET = 8  # buckets this small are compared pair by pair
+REST_PAIRS = 4  # what is left is compared pair by pair once it has at most so many pairs per candidate row
 ROUNDS = 6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,19 +163,23 @@ class NearCopies:
         is one minus a metric: a row less alike to the pivot than ``2 * likeness - 1``
         is like none of the pivot's links; a row between the two is compared with
         these, unless it is joined to them already. Rows not linked to the pivot
-        go on to the next round, and small remainders are compared pair by pair.
+        go on to the next round. Once the pairs of all that is left are no more than a
+        few per row that there was, they are compared pair by pair.
         """
         spark = buckets.sparkSession
         gray = 2 * self.likeness - 1
         links = spark.createDataFrame([], "a bigint, b bigint")
         is_link = F.col("likeness") >= self.likeness
-        rest, turn = buckets, 0
+        rest, turn, most = buckets, 0, 0.0
         while True:
-            sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
-            largest = sizes.agg(F.max("n")).first()[0] or 0
-            if largest < 2:
+            sizes = rest.groupBy("key").agg(F.count("*").cast("double").alias("n"))
+            n_rows, n_pairs = sizes.agg(
+                F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0.0))
+            ).first()
+            if not n_pairs:
                 return links
-            if turn == ROUNDS or (turn and largest <= REST_BUCKET):
+            most = n_rows * REST_PAIRS if turn == 0 else most
+            if turn and (turn == ROUNDS or n_pairs <= most):
                 break
             pivots = stored(rest.groupBy("key").agg(F.min("node").alias("pivot")), "pivots")
             rows = stored(rest.join(pivots, "key").where("node <> pivot").select("key", "pivot", "node"), "rows")
