@@ -71,12 +71,14 @@ def url_tokens(url: Column) -> Column:
 class RuleMiner:
     """Which combinations become rules.
 
-    ``support`` and ``confidence`` prune as in FP-growth; ``lift`` is how many times the
-    overall share of blocked pages a rule must reach; ``at_least`` is the smallest number
-    of blocked pages behind a rule.
+    ``at_least`` is the smallest number of blocked pages behind a rule, at any number of
+    pages; a ``support`` above 0 also asks for that share of all pages. ``confidence``
+    prunes as in FP-growth; ``lift`` is how many times the overall share of blocked pages
+    a rule must reach, or half the way from that share to 1 if that is less, so that it
+    can be reached where most pages are blocked.
     """
 
-    support: float = 0.002
+    support: float = 0.0
     confidence: float = 0.6
     lift: float = 2.0
     at_least: int = 10
@@ -110,7 +112,7 @@ class RuleMiner:
             F.array_sort("antecedent").alias("tokens"),
             "confidence",
             F.round(F.col("support") * n).cast("bigint").alias("n_blocked"),
-        ).where(F.col("confidence") >= self.lift * share)
+        ).where(F.col("confidence") >= min(self.lift * share, (1 + share) / 2))
         path = scratch_path(spark, "rules")
         found.write.parquet(path)
         found = spark.read.parquet(path)

@@ -50,6 +50,18 @@ def test_mined_combinations_block(spark):
     assert said == {1: (None, "block"), 2: (None, "allow"), 3: ("com/", "allow")}
 
 
+def test_rules_where_most_pages_are_blocked(spark):
+    rows = [(f"http://h{i % 5}.org/{'ads' if i % 5 < 3 else 'en'}/{i}", i % 5 < 3) for i in range(500)]
+    mined = urls.RuleMiner().mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+    assert ("path:ads",) in {tuple(r.tokens) for r in mined.collect()}
+
+
+def test_rules_of_a_rare_host(spark):
+    rows = [(f"http://h{i % 5}.org/{i}", i % 50 == 0) for i in range(12_000)] + [(f"http://rare.org/{i}", True) for i in range(12)]
+    mined = urls.RuleMiner().mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+    assert ("host=rare.org",) in {tuple(r.tokens) for r in mined.collect()}
+
+
 def test_no_labels_no_rules(spark):
     labelled = spark.createDataFrame([("http://a.org/", False)], "url string, blocked boolean")
     assert urls.RuleMiner().mine(labelled).count() == 0
