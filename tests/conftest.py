@@ -32,7 +32,3 @@ def edge_links(spark):
 
     rows = [(1, 1, 1), (2, 0, 0), (3, 1, 2), (4, 1, 2), (5, 5, 1), (6, 1, 6), (9, 9, 9)]
     return spark.createDataFrame(rows, LINK)
-
-
-def rows(df):
-    return sorted(tuple(r) for r in df.collect())

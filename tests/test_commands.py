@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from arcloom.operators import commands as cmd
 from arcloom.schema import COMMAND, FEED_COLUMNS, LINK

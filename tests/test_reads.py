@@ -3,7 +3,7 @@
 from itertools import product
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from arcloom.functions.patterns import from_arrays, normalise, predicate

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from arcloom.plans import report
 from arcloom.session import scratch_path

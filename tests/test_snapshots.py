@@ -1,7 +1,7 @@
 """Versions: isolation, the id counter, and copies that equal the table."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from arcloom.operators import commands as cmd
 from arcloom.schema import COMMAND

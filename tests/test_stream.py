@@ -1,7 +1,7 @@
 """The streams against the batch fold and the sequential loop."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 from test_commands import random_base, random_log, replay
 

@@ -1,7 +1,7 @@
 """Bulk writes, ids and the laws that tie them to the table."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from arcloom.operators import ids, writes
