@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, lines, neardup, passages, pieces, pii, quality, records, urls, winnow
+from arcloom.llm import decontaminate, lines, merkle, neardup, passages, pieces, pii, quality, records, urls, winnow
 from arcloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,85 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(1.0).alias("likeness"),
         )
     )
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document (by checksum of its id) is claimed to have one more character than it has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = F.when(chosen, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))
+
+    def written(digest: str):
+        return F.lower(F.hex(digest))
+
+    proved = merkle.manifest(docs.withColumn("claim", claim)).withColumn("folded", merkle.fold(F.col("claimed"), F.col("proof"), F.col("sides")))
+    return proved.select(
+        "doc_id",
+        written("leaf").alias("leaf"),
+        written("subroot").alias("subroot"),
+        written("root").alias("root"),
+        F.sha2(written("proof"), 256).alias("proof_sha256"),
+        written("folded").alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+ORACLE["op13_manifest"] = """
+WITH RECURSIVE field AS (
+  SELECT doc_id, lang, row_number() OVER () AS row, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail,
+         list_reduce(list_concat([4294967295::UBIGINT],
+             list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+           lambda crc, b: list_reduce(list_concat([xor(crc, b)], list_transform(range(8), lambda i: 0::UBIGINT)),
+             lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS crc
+  FROM documents
+), doc AS (
+  SELECT doc_id, lang, row, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || coalesce(strlen(claim::VARCHAR) || ':' || claim, '-') || tail) AS claimed
+  FROM (SELECT *, n_chars + coalesce((xor(crc, 4294967295::UBIGINT) % 7 = 0)::INT, 0) AS claim FROM field)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM doc
+), node AS (
+  SELECT lang, 0 AS level, pos AS i, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM
+    (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM node) WHERE n > 1 GROUP BY lang, level, i // 2
+), top AS (
+  SELECT lang, max(level) AS level FROM node GROUP BY lang
+), subroot AS (
+  SELECT t.lang, n.h, row_number() OVER (ORDER BY t.lang NULLS FIRST) - 1 AS pos
+  FROM top t JOIN node n ON t.lang IS NOT DISTINCT FROM n.lang AND t.level = n.level
+), upper AS (
+  SELECT 0 AS level, pos AS i, h FROM subroot
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM
+    (SELECT *, count(*) OVER () AS n FROM upper) WHERE n > 1 GROUP BY level, i // 2
+), root AS (
+  SELECT level, h FROM upper ORDER BY level DESC LIMIT 1
+), climb AS (
+  SELECT p.row, p.lang, 0 AS level, p.pos AS i, p.claimed AS h, '' AS proof, t.level AS top
+  FROM placed p JOIN top t ON p.lang IS NOT DISTINCT FROM t.lang
+  UNION ALL
+  SELECT c.row, c.lang, c.level + 1, c.i // 2,
+         sha256(CASE WHEN c.i % 2 = 1 THEN coalesce(n.h, '') || c.h ELSE c.h || coalesce(n.h, '') END),
+         c.proof || coalesce(n.h, ''), c.top
+  FROM climb c LEFT JOIN node n
+    ON n.lang IS NOT DISTINCT FROM c.lang AND n.level = c.level AND n.i = xor(c.i, 1) WHERE c.level < c.top
+), climbed AS (
+  SELECT row, 0 AS level, s.pos AS i, c.h, c.proof
+  FROM climb c JOIN subroot s ON c.lang IS NOT DISTINCT FROM s.lang WHERE c.level = c.top
+  UNION ALL
+  SELECT c.row, c.level + 1, c.i // 2,
+         sha256(CASE WHEN c.i % 2 = 1 THEN coalesce(u.h, '') || c.h ELSE c.h || coalesce(u.h, '') END),
+         c.proof || coalesce(u.h, '')
+  FROM climbed c LEFT JOIN upper u ON u.level = c.level AND u.i = xor(c.i, 1)
+  WHERE c.level < (SELECT level FROM root)
+)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256,
+       c.h AS folded_root, c.h = r.h AS verified
+FROM placed p JOIN subroot s ON p.lang IS NOT DISTINCT FROM s.lang
+JOIN root r ON true JOIN climbed c ON c.row = p.row AND c.level = r.level
+"""
