@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, lines, merkle, neardup, passages, pieces, pii, quality, records, urls, winnow
+from arcloom.llm import decontaminate, lines, merkle, neardup, passages, pieces, pii, quality, records, subspace, urls, winnow
 from arcloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,3 +302,31 @@ SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(c.proof) AS proof_s
 FROM placed p JOIN subroot s ON p.lang IS NOT DISTINCT FROM s.lang
 JOIN root r ON true JOIN climbed c ON c.row = p.row AND c.level = r.level
 """
+
+
+@query
+def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subspace.NearVectors().classes(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE["op12_embeddings"] = """
+WITH RECURSIVE vec AS (
+  SELECT row_number() OVER () AS row, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), good AS (
+  SELECT row, label, v, sqrt(list_dot_product(v, v)) AS norm FROM vec
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_dot_product(v, v) > 0
+), link AS (
+  SELECT a.row AS a, b.row AS b FROM good a JOIN good b ON a.label = b.label AND a.row <> b.row AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT row AS start, row AS at FROM vec
+  UNION
+  SELECT start, b FROM reach JOIN link ON a = at
+), low AS (
+  SELECT start, min(vec_id) AS component_id FROM reach JOIN vec ON row = at GROUP BY start
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM vec JOIN low ON row = start LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) ON a = row
+"""
