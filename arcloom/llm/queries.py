@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcloom.llm import decontaminate, lines, merkle, neardup, passages, pieces, pii, quality, records, subspace, urls, winnow
+from arcloom.llm import align, decontaminate, lines, merkle, neardup, passages, pieces, pii, quality, records, subspace, urls, winnow
+from arcloom.llm.components import stored
 from arcloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,8 +123,9 @@ def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.NearCopies().classes(docs).select("doc_id", "class_id", "class_size", "copies")
 
 
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-WORDS_FILE = "/opt/tokenizers/word_bpe_49k.json"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS_FILE = public_tokenizers.path("word_bpe_49k.json")
+BYTES_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @query
@@ -330,3 +333,12 @@ WITH RECURSIVE vec AS (
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM vec JOIN low ON row = start LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) ON a = row
 """
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = align.Alignment(BYTES_FILE, PIECES)
+    aligned = stored(both.align(table(spark, sf_dir, "documents")), "aligned")
+    return both.scores(aligned, both.pair_counts(aligned)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
