@@ -16,10 +16,13 @@ the documents; beyond that each part of the documents asks for its distinct pair
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,9 @@ BROADCAST_PAIRS = 1_000_000  # of 17 bytes
 UNITS = 200_000  # units remembered by a task
 LONG = 200  # characters beyond which a unit is not remembered
 BATCH_CHARS = 2_000_000
+TOGETHER = 50  # units encoded as one text
 LOW = 32  # bits of an id
+BLANKS = re.compile(r"\A |\s | \Z")  # spaces that end no unit
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,10 +52,11 @@ def byte_letters() -> dict[str, int]:
 
 def cut_units(text: str) -> list[str]:
     """Units that, each behind a space, make up space+text."""
-    if "  " not in text and text.strip(" ") == text and len(text.split()) == text.count(" ") + 1:
-        return text.split(" ")
-    units: list[str] = []
-    for part in text.split(" "):
+    units = text.split(" ")
+    if not BLANKS.search(text):
+        return units
+    parts, units = units, []
+    for part in parts:
         if units and (not part or not units[-1] or units[-1][-1].isspace()):
             units[-1] += " " + part
         else:
@@ -96,6 +102,7 @@ class Aligner:
         self.bytes_b = [
             bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.digits = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         # Where a piece holds a blank behind another sign, units would have to be whole texts.
         self.whole = any("▁" in p.lstrip("▁") for p in pieces)
         self.len_a, self.len_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
@@ -103,70 +110,102 @@ class Aligner:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A, of B, groups; -1 where the bytes differ
+        self.sizes = np.zeros((0, 3), np.int64)  # tokens of A, of B, groups; -1 where the bytes differ
         self.groups: list[str] = []
         self.pairs: list[np.ndarray] = []
 
     def learn(self, units: list[str]) -> None:
         """Align units not met before, all at once."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        # Units that may stand in one text without touching each other's tokens are encoded so.
+        plain = [u for u in units if u and u[0] != " " and not u[-1].isspace()]
+        odd = [u for u in units if not u or u[0] == " " or u[-1].isspace()]
+        units = plain + odd
+        a, n_a = self._encode_a(plain)
+        if odd:
+            a, n_a = (np.concatenate(x) for x in zip((a, n_a), self._encode_each(odd)))
         ids_b = self.b.encode(units, num_threads=1)
-        good = []
-        for k, (unit, x, y) in enumerate(zip(units, ids_a, ids_b)):
-            self.number[unit] = len(self.sizes)
-            raw = (" " + unit).encode()
-            same = b"".join([self.bytes_a[i] for i in x]) == raw == b"".join([self.bytes_b[i] for i in y])
-            self.sizes.append((len(x), len(y), 0) if same else (-1, -1, -1))
-            self.groups.append("")
-            self.pairs.append(np.zeros(0, np.int64))
-            if same:
-                good.append((k, len(self.sizes) - 1))
-        if not good:
-            return
-        a, b = (np.concatenate([np.asarray(ids[k], np.int64) for k, _ in good]) for ids in (ids_a, ids_b))
+        b = np.fromiter(chain.from_iterable(ids_b), np.int64)
+        n_b = np.fromiter(map(len, ids_b), np.int64, len(ids_b))
+        self.number.update(zip(units, range(len(self.groups), len(self.groups) + len(units))))
+        same = self._same_bytes(units, a, b, n_a, n_b)
+        a, b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)]
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         last_a, last_b = last_tokens(ends_a, ends_b)
         link_a, link_b = linked(ends_a, ends_b)
         pairs = a[link_a] << LOW | b[link_b]
         terminal = np.flatnonzero(last_a == np.arange(len(a)))
-        text_a, text_b = a.astype(str).tolist(), b.astype(str).tolist()
-        stop_a, stop_b = np.searchsorted(last_a, terminal, "right"), np.searchsorted(last_b, terminal, "right")
-        groups = [
-            f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}"
-            for i, j, k, m in zip([0, *stop_a[:-1].tolist()], stop_a.tolist(), [0, *stop_b[:-1].tolist()], stop_b.tolist())
-        ]
-        of_unit = np.cumsum([len(ids_a[k]) for k, _ in good])
+        text_a, text_b = [self.digits[i] for i in a.tolist()], [self.digits[i] for i in b.tolist()]
+        stop_a, stop_b = (np.searchsorted(x, terminal, "right").tolist() for x in (last_a, last_b))
+        groups, i, k = [], 0, 0
+        for j, m in zip(stop_a, stop_b):
+            groups.append(f"{text_a[i] if j == i + 1 else ','.join(text_a[i:j])}|{text_b[k] if m == k + 1 else ','.join(text_b[k:m])}")
+            i, k = j, m
+        of_unit = np.cumsum(np.where(same, n_a, 0))
         group_ends, link_ends = np.searchsorted(terminal, of_unit), np.searchsorted(link_a, of_unit)
-        at, link_at = 0, 0
-        for (k, n), end, link_end in zip(good, group_ends.tolist(), link_ends.tolist()):
-            self.sizes[n] = (len(ids_a[k]), len(ids_b[k]), end - at)
-            self.groups[n] = ";".join(groups[at:end])
-            self.pairs[n] = pairs[link_at:link_end]
+        sizes = np.stack([n_a, n_b, np.diff(group_ends, prepend=0)], 1)
+        sizes[~same] = -1
+        self.sizes = np.concatenate([self.sizes, sizes])
+        at = link_at = 0
+        for end, link_end in zip(group_ends.tolist(), link_ends.tolist()):
+            self.groups.append(groups[at] if end == at + 1 else ";".join(groups[at:end]))
+            self.pairs.append(pairs[link_at:link_end])
             at, link_at = end, link_end
 
+    def _encode_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of A, and how many each unit has: a token's bytes tell where units end."""
+        texts = [" " + " ".join(units[at : at + TOGETHER]) for at in range(0, len(units), TOGETHER)]
+        made = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in made), np.int64)
+        ends = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units)))
+        spelt = np.cumsum(self.len_a[ids])
+        last = np.searchsorted(spelt, ends)
+        if len(units) and (spelt[-1] != ends[-1] or (spelt[last] != ends).any()):
+            return self._encode_each(units)
+        return ids, np.diff(last, prepend=-1)
+
+    def _encode_each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(made), np.int64), np.fromiter(map(len, made), np.int64, len(made))
+
+    def _same_bytes(self, units: list[str], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """For each unit whether both tokenizers spell space+unit."""
+        raw = [(" " + u).encode() for u in units]
+        spelt_a = b"".join([self.bytes_a[i] for i in a.tolist()])
+        spelt_b = b"".join([self.bytes_b[i] for i in b.tolist()])
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = [np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(n)])] for lengths, n in ((self.len_a[a], n_a), (self.len_b[b], n_b))]
+        same = (np.diff(ends[0]) == size) & (np.diff(ends[1]) == size)
+        if same.all() and spelt_a == spelt_b == b"".join(raw):
+            return same
+        x, y = (e.tolist() for e in ends)
+        for k in np.flatnonzero(same).tolist():
+            same[k] = spelt_a[x[k] : x[k + 1]] == raw[k] == spelt_b[y[k] : y[k + 1]]
+        return same
+
     def align(self, texts: list[str]) -> list[tuple]:
         """For each text tokens of A and B, groups, links, the groups' text, and its pairs with their times."""
         cut = [([t] if self.whole else cut_units(t)) if t else [] for t in texts]
-        if len(self.sizes) > UNITS:
+        if len(self.groups) > UNITS:
             self.forget()
-        self.learn([u for u in dict.fromkeys(u for units in cut for u in units) if u not in self.number])
         number = self.number
-        rows = [[number[u] for u in units] for units in cut]
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 3)
-        out = []
-        for row in rows:
-            at = np.array(row, np.int64)
-            n_a, n_b, n_groups = (sizes[at].sum(0) if len(at) and sizes[at].min() >= 0 else np.zeros(3, np.int64)).tolist()
-            if not n_a:
-                out.append((0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        fresh = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in number]
+        if fresh:
+            self.learn(fresh)
+        none, out = np.zeros(0, np.int64), []
+        for units in cut:
+            row = [number[u] for u in units]
+            sizes = self.sizes[row] if row else np.full((1, 3), -1)
+            if sizes[:, 0].min() < 0:
+                out.append((0, 0, 0, 0, "", none, none))
                 continue
-            groups = ";".join([self.groups[n] for n in row])
+            n_a, n_b, n_groups = sizes.sum(0).tolist()
             pairs, times = np.unique(np.concatenate([self.pairs[n] for n in row]), return_counts=True)
-            out.append((n_a, n_b, n_groups, int(times.sum()), groups, pairs, times))
-        for unit in [u for u in self.number if len(u) > LONG]:
+            # A pair for each place where either ends.
+            out.append((n_a, n_b, n_groups, n_a + n_b - n_groups, ";".join([self.groups[n] for n in row]), pairs, times))
+        for unit in [u for u in fresh if len(u) > LONG]:
             # Its place stays until all is forgotten, what it holds does not.
-            n = self.number.pop(unit)
-            self.groups[n], self.pairs[n] = "", self.pairs[n][:0]
+            n = number.pop(unit)
+            self.groups[n], self.pairs[n] = "", none
         return out
 
 
@@ -194,6 +233,8 @@ class Alignment:
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             aligner, part = None, TaskContext.get().partitionId() << LOW
+            # Lists of many texts' units only: nothing for the collector to find.
+            gc.disable()
             for batch in batches:
                 aligner = aligner or Aligner(*files)
                 ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
@@ -219,6 +260,7 @@ class Alignment:
                         ALIGNED_NAMES,
                     )
                     part, start, held = part + 1, end, 0
+            gc.enable()
 
         return docs.select("doc_id", "text").mapInArrow(made, ALIGNED)
 
