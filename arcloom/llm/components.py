@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` (each row's lowest known companion) after rows ``i`` and ``j`` were linked."""
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            return root
+        i, j = i[open_], j[open_]
+        high, low = np.maximum(a, b)[open_], np.minimum(a, b)[open_]
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links (a, b)``: the lowest node it is joined to.
 

@@ -39,9 +39,12 @@ def line_key(line: Column) -> Column:
 
 
 def _hash(line: Column) -> Column:
-    """``(h, f)``: place and fingerprint; null for a line whose key is empty."""
+    """``(h, f)``: place and fingerprint; null for a line whose key is empty.
+
+    The fingerprint hashes the key from another seed, so that it is no function of the place.
+    """
     key = line_key(line)
-    both = F.struct(F.xxhash64(key).alias("h"), F.xxhash64(key, F.lit(1)).alias("f"))
+    both = F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("f"))
     return F.when(key != "", both)
 
 

@@ -10,12 +10,16 @@ likeness, sum of minima over sum of maxima. Processes stop as soon as they are l
 than all registers, so the work is about one point per shingle.
 
 Registers are cut into bands; documents that share a band are candidates, and every
-candidate link is checked on the whole bags.
+candidate link is checked on the whole bags. A bucket's rows are first compared with a
+few pivots, which joins most of what belongs together. Only buckets that still hold
+several components are compared as a whole, component against component: in tiles of a
+few hundred rows by one product of set matrices, which return a spanning forest of the
+links they find and never list pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,14 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arcloom.llm.common import keep_rows, same_row, texts, words
-from arcloom.llm.components import components, stored
-from arcloom.operators.sizing import BROADCAST_ROWS, sized
+from arcloom.llm.components import components, join_roots, stored
+from arcloom.operators.sizing import is_small, sized
 
 SHINGLE = 5
 LIKENESS = 0.8
 BANDS, ROWS = 40, 6  # at a likeness of 0.8 a link escapes all bands once in 190,000
-REST_PAIRS = 4  # what is left is compared pair by pair once it has at most so many pairs per candidate row
-ROUNDS = 6
+TILE = 256  # rows of a bucket that are compared with as many others at once
+SLICE = 4096  # shingles that such a comparison holds at once
+# Bits that are turned before a bucket's lowest node is taken: one pivot each.
+PIVOTS = (0, 0x5DEECE66D2F1A7B3, 0x2545F4914F6CDD1D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,6 +117,71 @@ def bag_likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(shared / total) if total else 1.0
 
 
+def bag_set(bag: np.ndarray) -> np.ndarray:
+    """A bag as a sorted set that tells repeats apart: minima of weights become an intersection."""
+    bag = np.sort(bag)
+    first = np.concatenate([np.ones(min(1, len(bag)), bool), bag[1:] != bag[:-1]])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(bag)), 0))
+    return np.sort(_mix(bag + (np.arange(len(bag)) - start).astype(np.uint64) * _ODD))
+
+
+def set_likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared over all elements of two sorted sets."""
+    at = np.searchsorted(b, a)
+    shared = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
+    total = len(a) + len(b) - shared
+    return shared / total if total else 1.0
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``, by products of 0/1 matrices."""
+    row = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    value = [np.concatenate(x) for x in (left, right)]
+    # What one side lacks is shared by no pair.
+    both = np.intersect1d(*value)
+    at = [np.searchsorted(both, v) for v in value]
+    known = [(k < len(both)) & (both[np.minimum(k, max(len(both) - 1, 0))] == v) if len(both) else np.zeros(len(v), bool) for k, v in zip(at, value)]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(both), SLICE):
+        cut = []
+        for side, n in enumerate((len(left), len(right))):
+            here = known[side] & (at[side] >= low) & (at[side] < low + SLICE)
+            held = np.zeros((n, SLICE), np.float32)
+            held[row[side][here], at[side][here] - low] = 1
+            cut.append(held)
+        out += cut[0] @ cut[1].T
+    return out
+
+
+def _tile_links(least: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Links between components within a tile, as few as join what hangs together."""
+
+    def linked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        _, main, x, y = key
+        root, part = frame["root"].to_numpy(), frame["part"].to_numpy()
+        bags = [np.asarray(b, np.int64) for b in frame["bag"]]
+        if main >= 0:
+            from_main = frame["is_main"].to_numpy()
+            left, right = np.flatnonzero(~from_main), np.flatnonzero(from_main)
+        elif x == y:
+            left = right = np.arange(len(frame))
+        else:
+            left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        shared = shared_counts([bags[i] for i in left], [bags[i] for i in right])
+        sizes = np.array([len(b) for b in bags], np.float64)
+        total = sizes[left][:, None] + sizes[right][None] - shared
+        alike = (shared / np.maximum(total, 1) >= least) & (root[left][:, None] != root[right][None])
+        i, j = np.nonzero(alike)
+        names, number = np.unique(root, return_inverse=True)
+        low = join_roots(np.arange(len(names)), number[left[i]], number[right[j]])
+        joined = np.flatnonzero(low != np.arange(len(names)))
+        return pd.DataFrame({"a": names[joined], "b": names[low[joined]]})
+
+    return linked
+
+
 @dataclass(frozen=True)
 class NearCopies:
     """How near copies are found. ``classes`` does the work."""
@@ -141,75 +212,69 @@ class NearCopies:
         @F.pandas_udf("array<bigint>")
         def bags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                yield pd.Series([np.sort(shingle_hashes(h, size)).view(np.int64) for h in batch])
+                yield pd.Series([bag_set(shingle_hashes(h, size)).view(np.int64) for h in batch])
 
         return bags(word_hashes)
 
     def _compare(self, pairs: DataFrame, bags: DataFrame) -> DataFrame:
-        """``(a, b, likeness)`` for distinct pairs ``(a, b)``."""
+        """Of distinct pairs ``(a, b)`` those alike enough."""
 
         @F.pandas_udf("double")
         def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
-            return pd.Series([bag_likeness(x, y) for x, y in zip(left, right)], dtype=float)
+            return pd.Series([set_likeness(x, y) for x, y in zip(left, right)], dtype=float)
 
         left, right = bags.toDF("a", "bag_a"), bags.toDF("b", "bag_b")
         both = pairs.join(left, "a").join(right, "b")
-        return stored(both.select("a", "b", likeness("bag_a", "bag_b").alias("likeness")), "likeness")
-
-    def _links(self, buckets: DataFrame, bags: DataFrame) -> DataFrame:
-        """Links ``(a, b)`` that join all candidates alike enough, without all pairs of a bucket.
-
-        Each round compares a bucket's rows with one pivot, its lowest node. Likeness
-        is one minus a metric: a row less alike to the pivot than ``2 * likeness - 1``
-        is like none of the pivot's links; a row between the two is compared with
-        these, unless it is joined to them already. Rows not linked to the pivot
-        go on to the next round. Once the pairs of all that is left are no more than a
-        few per row that there was, they are compared pair by pair.
-        """
-        spark = buckets.sparkSession
-        gray = 2 * self.likeness - 1
-        links = spark.createDataFrame([], "a bigint, b bigint")
-        is_link = F.col("likeness") >= self.likeness
-        rest, turn, most = buckets, 0, 0.0
-        while True:
-            sizes = rest.groupBy("key").agg(F.count("*").cast("double").alias("n"))
-            n_rows, n_pairs = sizes.agg(
-                F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum(F.expr("n * (n - 1) / 2")), F.lit(0.0))
-            ).first()
-            if not n_pairs:
-                return links
-            most = n_rows * REST_PAIRS if turn == 0 else most
-            if turn and (turn == ROUNDS or n_pairs <= most):
-                break
-            pivots = stored(rest.groupBy("key").agg(F.min("node").alias("pivot")), "pivots")
-            rows = stored(rest.join(pivots, "key").where("node <> pivot").select("key", "pivot", "node"), "rows")
-            pairs = rows.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-            found = self._compare(pairs, bags)
-            links = stored(links.unionByName(found.where(is_link).select("a", "b")), "links")
-            roots = components(links).withColumnsRenamed({"node": "b", "root": "b_root"})
-            pivot_root = roots.toDF("a", "a_root")
-            found = stored(
-                found.join(roots, "b", "left").join(pivot_root, "a", "left")
-                .withColumn("joined", F.coalesce(F.col("a_root") == F.col("b_root"), F.lit(False))),
-                "compared",
-            )
-            known = rows.join(found.withColumnsRenamed({"a": "pivot", "b": "node"}), ["pivot", "node"])
-            between = known.where(~is_link & ~F.col("joined") & (F.col("likeness") >= gray))
-            near = known.where(is_link).select("key", F.col("node").alias("a"))
-            pairs = between.select("key", F.col("node").alias("b")).join(near, "key").select("a", "b").distinct()
-            more = self._compare(pairs, bags).where(is_link).select("a", "b")
-            links = stored(links.unionByName(more), "links")
-            rest = known.where(~is_link).select(
-                "key", "node", F.coalesce("b_root", "node").alias("root")
-            )
-            # Where all that is left hangs together there is nothing to find.
-            open_keys = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-            rest = stored(rest.join(stored(open_keys.select("key"), "open"), "key").select("key", "node"), "rest")
-            turn += 1
-        left = rest.select("key", F.col("node").alias("a"))
-        pairs = left.join(rest.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b").distinct()
-        more = self._compare(pairs, bags).where(is_link).select("a", "b")
-        return stored(links.unionByName(more), "links")
+        return both.where(likeness("bag_a", "bag_b") >= self.likeness).select("a", "b")
+
+    def _roots(self, buckets: DataFrame, bags: DataFrame) -> DataFrame:
+        """``(node, root)`` of nodes that links join to others; ``buckets (key, node, pivots)``, ``bags (node, bag)``."""
+        pivot = F.explode(F.array_distinct("pivots")).alias("pivot")
+        pairs = buckets.select("node", pivot).where("node <> pivot")
+        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        roots = stored(components(stored(self._compare(pairs, bags), "links")), "roots")
+        rows = stored(
+            buckets.join(roots, "node", "left")
+            .select("key", "node", F.coalesce("root", "node").alias("root"), F.get("pivots", 0).alias("pivot")),
+            "rooted",
+        )
+        # Most of a bucket hangs on its pivot; ``others`` counts what does not.
+        main = F.max(F.when(F.col("node") == F.col("pivot"), F.col("root")))
+        held = rows.groupBy("key").agg(
+            main.alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi"),
+            F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print"),
+        ).where("lo <> hi")
+        # Bands of one group often hold the same rows: one of them is enough.
+        held = stored(held.groupBy("print", "n", "lo", "hi").agg(F.min(F.struct("key", "main")).alias("x")).select("x.*"), "open")
+        open_rows = rows.join(held, "key").withColumn("other", F.col("root") != F.col("main"))
+        sizes = stored(
+            open_rows.groupBy("key").agg(F.count_if("other").alias("n_other"), F.count_if(~F.col("other")).alias("n_main")),
+            "open-sizes",
+        )
+        open_rows = open_rows.join(sizes, "key").select(
+            "key", "node", "root", "other",
+            F.ceil(F.col("n_other") / TILE).cast("int").alias("others"), F.ceil(F.col("n_main") / TILE).cast("int").alias("mains"),
+        )
+        # A row of the main component meets each part of the others; a row of these, each part of both.
+        part = F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("other"), F.col("others")).otherwise(F.col("mains"))).cast("int")
+        within = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(F.lit(-1).alias("main"), F.least(i, part).alias("x"), F.greatest(i, part).alias("y")))
+        to_main = F.transform(
+            F.when(F.col("mains") > 0, F.sequence(F.lit(0), F.col("mains") - 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: F.struct(i.alias("main"), part.alias("x"), F.lit(-1).alias("y")),
+        )
+        from_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(part.alias("main"), i.alias("x"), F.lit(-1).alias("y")))
+        cells = F.when(F.col("other"), F.concat(within, to_main)).otherwise(from_main)
+        dealt = open_rows.select("key", "node", "root", (~F.col("other")).alias("is_main"), part.alias("part"), F.explode(cells).alias("cell"))
+        tiles = dealt.join(bags, "node").select("key", "cell.*", "root", "part", "is_main", "bag")
+        more = stored(
+            tiles.groupBy("key", "main", "x", "y").applyInPandas(_tile_links(self.likeness), "a bigint, b bigint").distinct(),
+            "tile-links",
+        )
+        upper = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        below = roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        # Roots that no pivot joined to anything.
+        alone = upper.join(roots, F.col("node") == upper["root"], "left_anti")
+        return below.unionByName(alone.select(F.col("root").alias("node"), F.col("top").alias("root")))
 
     def classes(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, version, root, class_id, class_size, copies)`` for each row of ``docs (doc_id, text)``.
@@ -220,42 +285,35 @@ class NearCopies:
         an empty text); a text without words is alike to no other text. Ids may be
         null or repeated; a class of null ids only has a null ``class_id``.
         """
-        docs = texts(docs)
-        hashed = docs.select(
-            "doc_id", "version", F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")
-        )
-        signed = stored(hashed.select("doc_id", "version", self._bands(F.col("h")).alias("keys")), "signed")
+        # Texts are told apart by 128 bits.
+        text = ["version", "check"]
+        docs = texts(docs).withColumn("check", F.xxhash64(F.lit(1), "text"))
+        hashed = docs.select("doc_id", *text, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+        signed = hashed.select("doc_id", *text, self._bands(F.col("h")).alias("keys"))
+        # Written once, so that a node keeps its number.
         nodes = stored(
-            signed.groupBy("version").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("copies")), "nodes"
-        )
-        keyed = (
-            signed.groupBy("version").agg(F.first("keys").alias("keys"))
-            .select(F.explode("keys").alias("key"), F.col("version").alias("node"))
-        )
-        shared = stored(
-            keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "buckets"
+            signed.groupBy(*text).agg(F.min("doc_id").alias("lowest"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+            .withColumn("node", F.monotonically_increasing_id()),
+            "nodes",
         )
+        keyed = nodes.select("node", F.explode("keys").alias("key"))
+        turned = [F.min(F.col("node").bitwiseXOR(F.lit(bits))).bitwiseXOR(F.lit(bits)) for bits in PIVOTS]
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n"), *[p.alias(f"p{i}") for i, p in enumerate(turned)]).where("n > 1")
+        shared = stored(shared.select("key", F.array(*[f"p{i}" for i in range(len(PIVOTS))]).alias("pivots")), "buckets")
         buckets = stored(keyed.join(shared, "key"), "bucket-rows")
-        asked = buckets.select(F.col("node").alias("version")).distinct()
-        few = asked.count() <= BROADCAST_ROWS
+        asked = nodes.select("node", *text).join(buckets.select("node").distinct(), "node", "left_semi")
+        asked = stored(asked, "asked")
         bags = stored(
-            hashed.join(sized(asked, few), "version", "left_semi")
-            .select("version", self._bags(F.col("h")).alias("bag"))
-            .groupBy("version").agg(F.first("bag").alias("bag")),
+            hashed.join(sized(asked, is_small(asked)), text)
+            .select("node", self._bags(F.col("h")).alias("bag"))
+            .groupBy("node").agg(F.first("bag").alias("bag")),
             "bags",
         )
-        links = self._links(buckets, bags)
-        roots = components(links)
-        placed = nodes.join(roots, F.col("version") == F.col("node"), "left").select(
-            "version", "lowest", "copies", F.coalesce("root", "version").alias("root")
-        )
-        placed = stored(placed, "placed")
-        whole = stored(
-            placed.groupBy("root").agg(F.min("lowest").alias("class_id"), F.sum("copies").alias("class_size")),
-            "classes",
-        )
-        of_text = stored(placed.join(whole, "root").select("version", "root", "class_id", "class_size", "copies"), "of-text")
-        return signed.select("doc_id", "version").join(of_text, "version").select(
+        roots = self._roots(buckets, bags)
+        placed = stored(nodes.drop("keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        whole = placed.groupBy("root").agg(F.min("lowest").alias("class_id"), F.sum("copies").alias("class_size"))
+        of_text = stored(placed.join(whole, "root").select(*text, "root", "class_id", "class_size", "copies"), "of-text")
+        return docs.select("doc_id", *text).join(of_text, text).select(
             "doc_id", "version", "root", "class_id", "class_size", "copies"
         )
 

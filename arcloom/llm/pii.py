@@ -179,11 +179,12 @@ def _find(text: str) -> list[dict]:
     base = base_spans(text)
     more, taken = [], sorted((a, b) for _, a, b in base)
     starts = [a for a, _ in taken]
+    # Base spans of several kinds may overlap: how far those reach that begin up to each.
+    reach = np.maximum.accumulate([b for _, b in taken]) if taken else []
     last = -1
     for kind, a, b in sorted(_wider(text), key=lambda x: (x[1], -x[2])):
         i = int(np.searchsorted(starts, b)) if starts else 0
-        # Base spans of several kinds may overlap: look at all that begin before the end.
-        if a >= last and not any(e > a for _, e in taken[max(0, i - 8) : i]):
+        if a >= last and not (i and reach[i - 1] > a):
             more.append((kind, a, b))
             last = b
     return [

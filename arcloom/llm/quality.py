@@ -132,31 +132,32 @@ def fit(
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     if usable is not None:
         known = known.where(usable)
-    chosen = (
-        known.groupBy("doc_id")
-        .agg(F.min(label_col).cast("double").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
-    )
+    # Labels of absent documents are of no use and must not use up the sample.
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = known.groupBy("doc_id").agg(F.min(label_col).cast("double").alias("label")).orderBy(*order).limit(sample)
+    # One id may have any number of rows: what reaches the driver is bounded by rows.
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "doc_id")
         .mapInPandas(_counted, "doc_id bigint, label double, counts binary")
-        .toPandas()
-        .drop_duplicates(["doc_id", "counts"])
-        .sort_values(["doc_id", "counts"])
+        .dropDuplicates(["doc_id", "counts"])
+        .orderBy(*order, "counts")
+        .limit(sample)
+        .select("label", "counts")
+        .toArrow()
     )
-    # Repeated rows of one id may still exceed the bound; the lowest hashes were asked for.
-    rows = rows.head(sample)
-    if rows.empty:
+    if not len(rows):
         return NeighbourModel(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32),
                               np.zeros((0, 1), np.float32), np.zeros(0), 0.5, neighbours)
-    counts = np.stack([np.frombuffer(c, np.float32) for c in rows["counts"]])
+    label = rows["label"].to_numpy()
+    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float32).reshape(-1, TERMS)
+    del rows
     rarity = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     weighed = _weigh(counts, rarity)
-    _, axes = np.linalg.eigh((weighed.T @ weighed).astype(np.float64))
-    axes = np.ascontiguousarray(axes[:, ::-1][:, :rank], np.float32)
-    label = rows["label"].to_numpy()
+    del counts
+    _, axes = np.linalg.eigh(weighed.T @ weighed)
+    axes = np.ascontiguousarray(axes[:, ::-1][:, :rank])
     return NeighbourModel(rarity, axes, _unit(weighed @ axes), label, float(label.mean()), neighbours)
 
 

@@ -114,13 +114,15 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if not self._plain(text):
+            lowered = text.lower()
+            # Lower case may lie further off than its capital.
+            if not (self._plain(text) and self._plain(lowered)):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(np.array(ids, self.width).tobytes() + self.end)
                 continue
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-            out.append(b"".join(map(self.known.__getitem__, PARTS.findall(text.lower()))) + self.end)
+            out.append(b"".join(map(self.known.__getitem__, PARTS.findall(lowered))) + self.end)
         return out
 
 
@@ -159,7 +161,7 @@ INDEX = "shard string, part int, row bigint, doc_id bigint, offset bigint, size
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = None, parts: int | None = None) -> DataFrame:
     """Encode ``docs (doc_id, text)`` into shard files below ``folder``; the stored offset index.
 
-    Order: ``doc_id`` (null first), then the text. A null text is empty, its record
+    Order: ``doc_id`` (null first), then a hash of the text. A null text is empty, its record
     holds ``end_id`` alone. Rows are never merged: a repeated row has its own record.
     Index ``(shard, part, row, doc_id, offset, size, n_tokens, local_start, width)``:
     ``part`` and ``row`` give the order over all shards, ``local_start`` counts the ids
@@ -167,7 +169,8 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
     """
     spark = docs.sparkSession
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
+    # Bounds are drawn from what orders the rows: numbers, never texts. Equal rows need not share a shard.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("print"), F.col("turn")]
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(vocabulary, end_id)
@@ -202,9 +205,10 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int | N
 
     sorted_docs = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+        .withColumns({"print": F.xxhash64("text"), "turn": F.monotonically_increasing_id()})
         .repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
-        .withColumn("part", F.spark_partition_id())
+        .select("doc_id", "text", F.spark_partition_id().alias("part"))
     )
     stored = f"{folder}/index"
     sorted_docs.mapInPandas(write, INDEX).write.parquet(stored)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcloom.llm.components import components, stored
+from arcloom.llm.components import components, join_roots, stored
 from arcloom.operators.sizing import is_small, sized
 
 COSINE = 0.98
@@ -124,20 +124,6 @@ def link_tile(q: np.ndarray, left: np.ndarray, right: np.ndarray, block: int, ce
     return left[i[certain]], right[j[certain]], left[i[~certain]], right[j[~certain]]
 
 
-def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """``root`` (each row's lowest known companion) after rows ``i`` and ``j`` were linked."""
-    while True:
-        a, b = root[i], root[j]
-        open_ = a != b
-        if not open_.any():
-            return root
-        i, j = i[open_], j[open_]
-        high, low = np.maximum(a, b)[open_], np.minimum(a, b)[open_]
-        np.minimum.at(root, high, low)
-        while (root != root[root]).any():
-            root = root[root]
-
-
 def _in_cell(cosine: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def told(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         block, cell, part, other = key[:4]

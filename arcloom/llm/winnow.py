@@ -48,16 +48,16 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
     def grams(h: Column) -> Column:
         last = F.greatest(F.size(h) - gram, F.lit(0))
-        return F.transform(
+        made = F.transform(
             F.sequence(F.lit(0), last),
             lambda i: F.shiftleft(value(h, i), 31) + (F.lit(PRIME) - i),
         )
+        return F.when(h.isNotNull(), made)
 
     def chosen(keys: Column) -> Column:
         last = F.greatest(F.size(keys) - window, F.lit(0)) + 1
-        return F.array_distinct(
-            F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(keys, i, window)))
-        )
+        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(keys, i, window)))
+        return F.when(keys.isNotNull(), F.array_distinct(made))
 
     # Each step is bound to a name once, as an array of one element.
     made = F.transform(F.transform(F.array(hashed), grams), chosen)

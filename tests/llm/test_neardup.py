@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from data import docs_of, no_docs, odd_docs, prose
 from pyspark.sql import functions as F
 
@@ -88,6 +89,31 @@ def test_classes_are_those_of_all_pairs(spark):
     assert sorted(r.doc_id for r in kept) == sorted(sizes)
 
 
+@pytest.mark.parametrize("tile", [256, 30])
+def test_templated_texts_stay_apart_without_pairs(spark, tile, monkeypatch):
+    """Hundreds of texts alike at about 0.7 through a common core, and a few that two of them link to."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    core = prose(7, 240)
+    texts = [f"{prose(1000 + i, 22)} {core} {prose(5000 + i, 22)}" for i in range(300)]
+    bags = [neardup.bag_set(neardup.shingle_hashes(np.array([hash(w) for w in t.split()]))) for t in texts[:40]]
+    assert 0.65 < np.mean([neardup.set_likeness(bags[0], b) for b in bags[1:]]) < 0.75
+    texts += [edit(texts[i], 3, i) for i in (5, 6, 299)]
+    rows = neardup.NearCopies().classes(docs_of(spark, texts)).collect()
+    near = {300: 5, 301: 6, 302: 299}
+    assert {r.doc_id: r.class_id for r in rows} == {i: near.get(i, i) for i in range(len(texts))}
+
+
+def test_sets_of_bags():
+    rng = np.random.default_rng(5)
+    bags = [rng.integers(0, 40, rng.integers(0, 90)).astype(np.uint64) for _ in range(30)]
+    sets = [neardup.bag_set(b) for b in bags]
+    counts = neardup.shared_counts(sets, sets)
+    for i, j in itertools.product(range(30), repeat=2):
+        want = likeness(bags[i].tolist(), bags[j].tolist())
+        assert abs(neardup.set_likeness(sets[i], sets[j]) - want) < 1e-12
+        assert counts[i, j] == sum((Counter(bags[i].tolist()) & Counter(bags[j].tolist())).values())
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     rows = neardup.NearCopies().classes(docs).collect()
