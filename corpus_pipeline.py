@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arcloom.llm import decontaminate as passages
 from arcloom.llm import lines, neardup, pieces, quality
-from arcloom.llm.common import keep_rows
+from arcloom.llm.common import keep_rows, words
 from arcloom.llm.queries import PIECES, table
 from arcloom.session import scratch_path
 
@@ -37,8 +37,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = passages.contamination(docs, table(spark, sf_dir, "benchmark"))
+    """Documents without a passage of the benchmark.
+
+    A passage is a whole window: an item of fewer words says too little to drop what
+    holds it ("yes" stands in many a clean document), so such items decide nothing.
+    """
+    items = table(spark, sf_dir, "benchmark").where(F.size(words(F.coalesce("text", F.lit("")))) >= passages.WINDOW)
+    found = passages.contamination(docs, items)
     return keep_rows(docs, found.where("n_hit > 0").select("doc_id", "version").distinct(), "left_anti")
 
 
