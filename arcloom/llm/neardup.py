@@ -34,8 +34,9 @@ from arcloom.operators.sizing import is_small, sized
 SHINGLE = 5
 LIKENESS = 0.8
 BANDS, ROWS = 40, 6  # at a likeness of 0.8 a link escapes all bands once in 190,000
-TILE = 256  # rows of a bucket that are compared with as many others at once
+TILE = 512  # rows of a bucket that are compared with as many others at once
 SLICE = 4096  # shingles that such a comparison holds at once
+LOT_ROWS = 2000  # about so many rows of tiles are handed to Python at once
 # Bits that are turned before a bucket's lowest node is taken: one pivot each.
 PIVOTS = (0, 0x5DEECE66D2F1A7B3, 0x2545F4914F6CDD1D)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -153,22 +154,18 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _tile_links(least: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Links between components within a tile, as few as join what hangs together."""
+def _tile_links(least: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links between components within each tile of a lot, as few as join what hangs together."""
 
-    def linked(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, main, x, y = key
-        root, part = frame["root"].to_numpy(), frame["part"].to_numpy()
-        bags = [np.asarray(b, np.int64) for b in frame["bag"]]
+    def linked(main: int, x: int, y: int, root: np.ndarray, part: np.ndarray, is_main: np.ndarray, bags: list[np.ndarray]) -> np.ndarray:
         if main >= 0:
-            from_main = frame["is_main"].to_numpy()
-            left, right = np.flatnonzero(~from_main), np.flatnonzero(from_main)
+            left, right = np.flatnonzero(~is_main), np.flatnonzero(is_main)
         elif x == y:
-            left = right = np.arange(len(frame))
+            left = right = np.arange(len(root))
         else:
             left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+            return np.zeros((0, 2), np.int64)
         shared = shared_counts([bags[i] for i in left], [bags[i] for i in right])
         sizes = np.array([len(b) for b in bags], np.float64)
         total = sizes[left][:, None] + sizes[right][None] - shared
@@ -177,9 +174,22 @@ def _tile_links(least: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         names, number = np.unique(root, return_inverse=True)
         low = join_roots(np.arange(len(names)), number[left[i]], number[right[j]])
         joined = np.flatnonzero(low != np.arange(len(names)))
-        return pd.DataFrame({"a": names[joined], "b": names[low[joined]]})
+        return np.stack([names[joined], names[low[joined]]], 1)
 
-    return linked
+    def of_lot(frame: pd.DataFrame) -> pd.DataFrame:
+        cell = frame[["key", "main", "x", "y"]].to_numpy(np.int64)
+        order = np.lexsort(cell.T)
+        cell = cell[order]
+        starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(1)]))
+        root, part, is_main = (frame[c].to_numpy()[order] for c in ("root", "part", "is_main"))
+        bags = [frame["bag"].iloc[i] for i in order]
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(starts, [*starts[1:], len(cell)]):
+            found.append(linked(*cell[a, 1:].tolist(), root[a:b], part[a:b], is_main[a:b], bags[a:b]))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return of_lot
 
 
 @dataclass(frozen=True)
@@ -264,10 +274,14 @@ class NearCopies:
         )
         from_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(part.alias("main"), i.alias("x"), F.lit(-1).alias("y")))
         cells = F.when(F.col("other"), F.concat(within, to_main)).otherwise(from_main)
+        copies = F.sum(F.expr("n_main * others + n_other * (others + mains)"))
+        counted = sizes.withColumns({"others": F.ceil(F.col("n_other") / TILE), "mains": F.ceil(F.col("n_main") / TILE)})
+        lots = (counted.agg(copies).first()[0] or 0) // LOT_ROWS + 1
         dealt = open_rows.select("key", "node", "root", (~F.col("other")).alias("is_main"), part.alias("part"), F.explode(cells).alias("cell"))
-        tiles = dealt.join(bags, "node").select("key", "cell.*", "root", "part", "is_main", "bag")
+        lot = F.pmod(F.xxhash64("key", "cell"), F.lit(lots)).alias("lot")
+        tiles = dealt.join(bags, "node").select(lot, "key", "cell.*", "root", "part", "is_main", "bag")
         more = stored(
-            tiles.groupBy("key", "main", "x", "y").applyInPandas(_tile_links(self.likeness), "a bigint, b bigint").distinct(),
+            tiles.groupBy("lot").applyInPandas(_tile_links(self.likeness), "a bigint, b bigint").distinct(),
             "tile-links",
         )
         upper = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
