@@ -14,6 +14,7 @@ from arcloom.plans import report
 from arcloom.session import scratch_path
 from arcloom.sources import benchlog, documents
 from arcloom.sources.snapshots import LinkStore
+from arcloom.streaming import stateful
 from arcloom.streaming.feed import stream_outcomes
 from arcloom.streaming.sinks import FeedSink
 
@@ -435,6 +436,21 @@ def stream_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/feed")
 
 
+@query
+def stream_stateful_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed with state in RocksDB, ids drained in slices."""
+    out = scratch_path(spark, "stateful-feed")
+    with stateful.rocksdb(spark):
+        (
+            cmd.change_feed(stateful.stateful_outcomes(_command_stream(spark, sf_dir)))
+            .writeStream.option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{out}/feed")
+            .awaitTermination()
+        )
+    return spark.read.parquet(f"{out}/feed")
+
+
 @query
 def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "stream-links")

@@ -253,6 +253,7 @@ ORACLE = {
         where not exists (select 1 from figures f
                           where f.op = ops.op and f.backend = backends.backend)""",
     "stream_change_feed": CHANGE_FEED,
+    "stream_stateful_feed": CHANGE_FEED,
     "stream_links": CURRENT,
 }
 ORACLE["match_patterns_shuffled"] = ORACLE["match_patterns"]
