@@ -324,14 +324,14 @@ WITH RECURSIVE vec AS (
   SELECT a.row AS a, b.row AS b FROM good a JOIN good b ON a.label = b.label AND a.row <> b.row AND len(a.v) = len(b.v)
   WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
 ), reach AS (
-  SELECT row AS start, row AS at FROM vec
+  SELECT row AS first, row AS met FROM vec
   UNION
-  SELECT start, b FROM reach JOIN link ON a = at
+  SELECT first, b FROM reach JOIN link ON a = met
 ), low AS (
-  SELECT start, min(vec_id) AS component_id FROM reach JOIN vec ON row = at GROUP BY start
+  SELECT first, min(vec_id) AS component_id FROM reach JOIN vec ON row = met GROUP BY first
 )
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
-FROM vec JOIN low ON row = start LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) ON a = row
+FROM vec JOIN low ON row = first LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) ON a = row
 """
 
 

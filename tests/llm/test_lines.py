@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from data import docs_of, no_docs, odd_docs
+from pyspark.sql import functions as F
 
 from arcloom.llm import lines
 
@@ -47,6 +48,17 @@ def test_perfect_hash_places_every_key_and_rejects_others():
     assert len(made.prints) == 50_000
 
 
+def test_fingerprints_are_no_function_of_the_place(spark):
+    """A hash of the first hash would tell nothing more; keys that share a place are still told apart."""
+    row = spark.sql("select 'some line' as line").select(lines._hash(F.col("line")).alias("k"), F.xxhash64(F.lit(1)).alias("x")).select("k.h", "k.f", "x").first()
+    again = spark.createDataFrame([(row.h,)], "h bigint").select(F.xxhash64("h", F.lit(1)), F.xxhash64(F.lit(1), "h"), F.xxhash64("h")).first()
+    assert row.f not in again
+    h = np.array([9, 9, 5], np.uint64)
+    f = np.array([1, 2, 3], np.uint64)
+    made = lines.PerfectHash.build(h, f, np.array([10, 20, 30]))
+    assert made.count(h, f).tolist() == [10, 20, 30] and not made.count(h[:1], np.array([4], np.uint64)).any()
+
+
 def test_odd_rows_repeats_and_no_documents(spark):
     docs = odd_docs(spark)
     rows = lines.drop_shared_lines(docs, 2, carry=True).collect()

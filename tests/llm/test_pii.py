@@ -67,3 +67,12 @@ def test_odd_rows(spark):
     rows = pii.spans(docs).collect()
     assert len(rows) == docs.count() and not any(r.spans for r in rows)
     assert pii.spans(no_docs(spark)).count() == 0
+
+
+def test_nothing_is_added_within_a_long_base_span():
+    """An email over many addresses reaches over more base spans than are near the candidate."""
+    text = "x " + ".".join(["1.2.3.4"] * 15) + ".a@example.com (at) y.com"
+    found = pii._find(text)
+    base = [(s["start"], s["end"]) for s in found if s["base"]]
+    added = [(s["start"], s["end"]) for s in found if not s["base"]]
+    assert len(base) > 10 and all(a >= e or b <= s for a, b in added for s, e in base)

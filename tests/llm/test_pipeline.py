@@ -21,7 +21,7 @@ def test_stages_take_effect(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(i, int(i < 40), 0) for i in range(80) if i % 4]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, prose(999, 20))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, prose(999, 20)), (2, good[0].split()[0]), (3, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     out = corpus_pipeline.run(spark, str(tmp_path))
     rows = {r.doc_id: r for r in pieces.decode(out, PIECES).collect()}
@@ -31,11 +31,11 @@ def test_stages_take_effect(spark, tmp_path):
 
 
 def test_registered_queries(spark):
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry_points.queries()) and set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["op2_decontaminate", "op10_lines"])
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op10_lines", "op12_embeddings", "op13_manifest"])
 def test_query_equals_sql(spark, name):
     db = compare.database(SF_DIR)
     result = entry_points.queries()[name](spark, SF_DIR)

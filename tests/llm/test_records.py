@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from data import docs_of, no_docs, odd_docs, prose
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 from arcloom.llm import records
 from arcloom.session import scratch_path
 
-PATH = "/opt/tokenizers/word_bpe_49k.json"
+PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "", "Straße ΑΣ Σ x", "İstanbul IS", "a\x1cb c\x1d", "<|endoftext|> x<|startoftext|>y", "é é", " a b　c", "ﬁ ǅ",
     "don't I'LL we're 12,34 ''s", "日本語 テキスト", "a\u0085b ​z", "\U0001f600\U0001f600 !!", "µ ſ K Å", "x\x00y z\x0b",
@@ -33,6 +34,13 @@ def test_words_give_the_ids_of_the_whole_text(monkeypatch):
     assert read() == ids_of(texts)
 
 
+def test_every_near_sign_in_context():
+    """All code points below the far ones, also those whose lower case lies beyond, beside letters and alone."""
+    texts = [pattern.replace("?", chr(c)) for c in range(0x300) for pattern in ("?b", "a?b", "a? b", "1?,")]
+    encoder = records.WordEncoder(PATH, 2)
+    assert [np.frombuffer(b, encoder.width).tolist() for b in encoder.encode(texts)] == ids_of(texts)
+
+
 def test_records_read_back_in_any_order(spark):
     texts = [*ODD, None, *[prose(n, 30) for n in range(30)], prose(1, 3000)]
     docs = docs_of(spark, texts).repartition(5)
