@@ -21,7 +21,7 @@ from arcloom.operators.reads import (
     residual,
 )
 from arcloom.operators.sizing import is_small
-from arcloom.schema import PATTERN_COLUMNS
+from arcloom.schema import DELETE, PATTERN_COLUMNS, UPDATE
 from arcloom.session import scratch_path
 
 
@@ -49,6 +49,30 @@ def pair_multiplicity(links: DataFrame) -> DataFrame:
     return links.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+def degree_changes(feed: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, n)``: what a change feed adds to and takes from the degrees, by ``source``, ``target`` or both.
+
+    An update takes from its old end and adds to its new one. The work is that of the
+    feed alone, whose hubs are summed before they are shuffled; on a streaming feed
+    this is an aggregate for update or complete mode.
+    """
+
+    def end(image: str, sign: int) -> Column:
+        return F.struct(*[F.col(f"{image}_{key}").alias(key) for key in keys], F.lit(sign).cast("bigint").alias("n"))
+
+    taken = F.when(F.col("op").isin(UPDATE, DELETE), F.array(end("before", -1)))
+    added = F.when(F.col("op") != DELETE, F.array(end("after", 1)))
+    none = F.array().cast(f"array<struct<{', '.join(f'{key}: bigint' for key in keys)}, n: bigint>>")
+    ends = F.explode(F.concat(F.coalesce(taken, none), F.coalesce(added, none))).alias("end")
+    return feed.select(ends).select("end.*").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def changed_degrees(degrees: DataFrame, changes: DataFrame) -> DataFrame:
+    """Degrees after ``changes``, both ``(*keys, n)``; keys that no link has any more are gone."""
+    keys = [c for c in degrees.columns if c != "n"]
+    return degrees.unionByName(changes).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
 def count_patterns(links: DataFrame, patterns: DataFrame, small: bool | None = None) -> DataFrame:
     """``(pid, n)`` for every pattern, zeros kept.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcloom.functions import patterns
 from arcloom.operators import commands as cmd
 from arcloom.operators import counts, ids, reads, writes
 from arcloom.plans import datasets as data
@@ -140,6 +141,20 @@ def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.in_degree(data.links(spark, sf_dir))
 
 
+@query
+def out_degree_kept_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-degrees after a command log, from those before and the log's change feed."""
+    links = data.links(spark, sf_dir)
+    feed = cmd.change_feed(cmd.outcomes(data.commands(spark, sf_dir), base=links))
+    return counts.changed_degrees(counts.out_degree(links), counts.degree_changes(feed, "source"))
+
+
+@query
+def pattern_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns that arrive as arrays of no to four positions, or as NULL; those of a wrong length are marked."""
+    return patterns.from_arrays(data.pattern_arrays(spark, sf_dir))
+
+
 @query
 def pair_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.pair_multiplicity(data.links(spark, sf_dir))

@@ -80,6 +80,13 @@ def patterns(spark: SparkSession, sf_dir: str, with_any: bool = False) -> DataFr
     )
 
 
+def pattern_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The patterns as arrays cut to none to four positions, every sixth one NULL."""
+    whole = F.array("p_id", "p_source", "p_target", F.lit(0))
+    cut = F.slice(whole, F.lit(1), (F.col("pid") % 6).cast("int"))
+    return patterns(spark, sf_dir).select("pid", F.when(F.col("pid") % 6 < 5, cut).alias("pattern"))
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a command on its user's link."""
     return as_commands(table(spark, sf_dir, "events"))

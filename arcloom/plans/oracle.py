@@ -178,6 +178,12 @@ ORACLE = {
     "max_id": f"with {LINKS} select coalesce(max(id), 0) as max_id from links",
     "out_degree": f"with {LINKS} select source, count(*) as n from links group by source",
     "in_degree": f"with {LINKS} select target, count(*) as n from links group by target",
+    "out_degree_kept_up": f"select source, count(*) as n from ({CURRENT_ON_BASE}) group by source",
+    "pattern_lengths": f"""with {LINKS}, {SOME_BOUND}
+        select pid, case when pid % 6 between 1 and 4 then p_id end as p_id,
+               case when pid % 6 between 2 and 4 then p_source end as p_source,
+               case when pid % 6 between 3 and 4 then p_target end as p_target,
+               pid % 6 in (0, 1, 3) as ok from patterns""",
     "pair_multiplicity": f"with {LINKS} select source, target, count(*) as n from links group by source, target",
     "create_empty": """select o_orderkey + 1 as id, cast(0 as bigint) as source,
         cast(0 as bigint) as target from orders""",

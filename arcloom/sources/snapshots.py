@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from arcloom.functions.patterns import Pattern, normalise
@@ -64,14 +64,22 @@ def choose_copy(pattern: Pattern, available: tuple[str, ...] = tuple(COPIES)) ->
 
 def write_clustered(
     links: DataFrame, path: str, order: list[str], partitions: int | None = None
-) -> None:
-    """Links sorted by ``order`` across and within files, for row-group skipping."""
+) -> tuple[int, int]:
+    """Links sorted by ``order`` across and within files, for row-group skipping; their number and highest id.
+
+    Both are gathered by the write. They are observed behind the range partitioning,
+    as what lies before it runs once more for its bounds.
+    """
     ranged = (
         links.repartitionByRange(partitions, *order)
         if partitions
         else links.repartitionByRange(*order)
     )
-    ranged.sortWithinPartitions(*order).select(*LINK_COLUMNS).write.mode("overwrite").parquet(path)
+    seen = Observation()
+    made = ranged.sortWithinPartitions(*order).select(*LINK_COLUMNS)
+    made = made.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    made.write.mode("overwrite").parquet(path)
+    return seen.get["n"], seen.get["top"]
 
 
 def read_links(spark: SparkSession, *paths: str) -> DataFrame:
@@ -120,25 +128,26 @@ class LinkStore:
         partitions: int | None = None,
         next_id: int | None = None,
         label: int | None = None,
-        given: int = 0,
+        given: int | Observation = 0,
     ) -> Version:
         """Write ``links`` as the next version and make it visible.
 
         The id counter never goes back: it is the highest of the last version's
         counter, ``max(id) + 1`` and ``given + 1``, unless ``next_id`` is set. ``given`` is
-        the highest id ever given out that ``links`` may no longer hold.
+        the highest id ever given out that ``links`` may no longer hold, or an observation
+        of it that what ``links`` is made of was given.
         """
         last = self.version()
         number = last.version + 1 if last else 1
         base = f"{self.root}/v={number}"
-        write_clustered(links, f"{base}/by_id", COPIES["by_id"], partitions)
+        n, top = write_clustered(links, f"{base}/by_id", COPIES["by_id"], partitions)
         # The other copies come from the written one, so `links` is computed once.
         written = read_links(self.spark, f"{base}/by_id")
         for copy in copies:
             if copy != "by_id":
                 write_clustered(written, f"{base}/{copy}", COPIES[copy], partitions)
-        n, top = written.agg(F.count(F.lit(1)), F.coalesce(F.max("id"), F.lit(0))).first()
         if next_id is None:
+            given = given.get["given"] if isinstance(given, Observation) else given
             next_id = max(top + 1, given + 1, last.next_id if last else 1)
         held = tuple(dict.fromkeys(("by_id", *copies)))
         row = self.spark.createDataFrame([(number, n, next_id, list(held), label)], VERSIONS)
@@ -162,7 +171,10 @@ class LinkStore:
         Ids the log creates count as given out, also those it deletes again. (A create
         that is rejected names an id that exists.)
         """
-        given = commands.where(F.col("op").isin(*BIRTHS)).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        # The log is read once: a maximum stays the same however often its parts run.
+        given = Observation()
+        births = F.coalesce(F.max(F.when(F.col("op").isin(*BIRTHS), F.col("id"))), F.lit(0))
+        commands = commands.observe(given, births.alias("given"))
         return self.publish(current_links(commands, self.read(), parts), given=given, **publish)
 
     def add(self, endpoints: DataFrame, order: Sequence[str] = ("source", "target"), **publish) -> Version:

@@ -79,3 +79,13 @@ def test_a_deleted_id_is_not_given_again(spark):
     assert store.apply(spark.createDataFrame(log, COMMAND)).next_id == 3
     store.add(spark.createDataFrame([(1, 1)], "source bigint, target bigint"))
     assert [r[0] for r in rows(store.read())] == [1, 3]
+
+
+def test_counts_are_gathered_by_the_write(spark, store):
+    """Many partitions, of which range bounds are drawn first, are counted once."""
+    links = spark.range(1, 5001, numPartitions=9).selectExpr("id", "id % 7 as source", "id % 11 as target")
+    version = store.publish(links, partitions=6)
+    assert (version.n_links, version.next_id) == (5000, 5001)
+    log = spark.createDataFrame([(1, "create", 9000, None, None), (2, "delete", 9000, None, None)], COMMAND)
+    version = store.apply(log)
+    assert (version.n_links, version.next_id) == (5000, 9001)
