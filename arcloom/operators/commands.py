@@ -252,12 +252,26 @@ def current_links(
     """
     effect = log_effect(commands, parts)
     if base is not None:
-        effect = stored(effect, "effect")
+        return applied(stored(effect, "effect"), base, small)
+    return effect.where(F.col("life") == PRESENT).select(
+        "id", F.col("s0").alias("source"), F.col("t0").alias("target")
+    )
+
+
+def highest_birth(effect: DataFrame) -> int:
+    """The highest id that a log with the stored ``effect`` gives out, 0 if none.
+
+    An id that starts absent has been given an endpoint only if it was created, also
+    where it is deleted again.
+    """
+    return effect.where(F.col("s0").isNotNull()).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
+
+def applied(effect: DataFrame, base: DataFrame, small: bool | None = None) -> DataFrame:
+    """``base`` after a log with the stored ``effect`` (see ``log_effect``)."""
     made = effect.where(F.col("life") == PRESENT).select(
         "id", F.col("s0").alias("source"), F.col("t0").alias("target")
     )
-    if base is None:
-        return made
     survives = F.col("life").isNull() | (F.col("life") == PRESENT)
     if is_small(effect, small):
         kept = (

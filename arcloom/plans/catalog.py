@@ -14,6 +14,7 @@ from arcloom.plans import datasets as data
 from arcloom.plans import report
 from arcloom.session import scratch_path
 from arcloom.sources import benchlog, documents
+from arcloom.sources.ranges import RangedLinks
 from arcloom.sources.snapshots import LinkStore
 from arcloom.streaming import stateful
 from arcloom.streaming.feed import stream_outcomes
@@ -347,6 +348,37 @@ def empty_snapshot_next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.versions().select("version", "n_links", "next_id")
 
 
+# Versions that share id ranges
+
+
+def _ranged(spark: SparkSession, sf_dir: str) -> RangedLinks:
+    store = RangedLinks(spark, scratch_path(spark, "ranged"))
+    store.create(data.links(spark, sf_dir), width=1 << 12)
+    return store
+
+
+@query
+def ranged_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranged(spark, sf_dir).each([77])
+
+
+@query
+def ranged_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version that a command log leads to; ranges without an id of the log are not rewritten."""
+    store = _ranged(spark, sf_dir)
+    store.apply(data.commands(spark, sf_dir))
+    return store.read()
+
+
+@query
+def ranged_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges of both versions and which of them wrote each."""
+    store = _ranged(spark, sf_dir)
+    store.apply(data.commands(spark, sf_dir))
+    both = [store.index(v).withColumn("version", F.lit(v).cast("bigint")) for v in (1, 2)]
+    return both[0].unionByName(both[1])
+
+
 # Documents
 
 

@@ -234,6 +234,15 @@ ORACLE = {
     "clustered_incoming": f"with {LINKS} select * from links where target = 42",
     "snapshot_links": f"with {LINKS} select * from links",
     "snapshot_apply": CURRENT_ON_BASE,
+    "ranged_identity": f"with {LINKS} select * from links where id = 77",
+    "ranged_apply": CURRENT_ON_BASE,
+    "ranged_index": f"""with {LINKS}, after_log as ({CURRENT_ON_BASE}),
+        touched as (select distinct (user_id + 1) // 4096 as range from events)
+        select cast(1 as bigint) as version, id // 4096 as range, cast(1 as bigint) as written, count(*) as n
+        from links group by all
+        union all
+        select 2, id // 4096, case when id // 4096 in (select range from touched) then 2 else 1 end, count(*)
+        from after_log group by all""",
     "empty_snapshot_next_id": f"""with {LINKS}
         select cast(1 as bigint) as version, count(*) as n_links, max(id) + 1 as next_id from links
         union all select 2, 0, 1""",

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from arcloom.functions.patterns import Pattern, normalise
-from arcloom.operators.commands import BIRTHS, current_links
+from arcloom.operators.commands import applied, highest_birth, log_effect, stored
 from arcloom.operators.ids import allocate_ids
 from arcloom.operators.reads import each
 from arcloom.schema import LINK, LINK_COLUMNS
@@ -128,14 +128,13 @@ class LinkStore:
         partitions: int | None = None,
         next_id: int | None = None,
         label: int | None = None,
-        given: int | Observation = 0,
+        given: int = 0,
     ) -> Version:
         """Write ``links`` as the next version and make it visible.
 
         The id counter never goes back: it is the highest of the last version's
         counter, ``max(id) + 1`` and ``given + 1``, unless ``next_id`` is set. ``given`` is
-        the highest id ever given out that ``links`` may no longer hold, or an observation
-        of it that what ``links`` is made of was given.
+        the highest id ever given out that ``links`` may no longer hold.
         """
         last = self.version()
         number = last.version + 1 if last else 1
@@ -147,7 +146,6 @@ class LinkStore:
             if copy != "by_id":
                 write_clustered(written, f"{base}/{copy}", COPIES[copy], partitions)
         if next_id is None:
-            given = given.get["given"] if isinstance(given, Observation) else given
             next_id = max(top + 1, given + 1, last.next_id if last else 1)
         held = tuple(dict.fromkeys(("by_id", *copies)))
         row = self.spark.createDataFrame([(number, n, next_id, list(held), label)], VERSIONS)
@@ -171,11 +169,8 @@ class LinkStore:
         Ids the log creates count as given out, also those it deletes again. (A create
         that is rejected names an id that exists.)
         """
-        # The log is read once: a maximum stays the same however often its parts run.
-        given = Observation()
-        births = F.coalesce(F.max(F.when(F.col("op").isin(*BIRTHS), F.col("id"))), F.lit(0))
-        commands = commands.observe(given, births.alias("given"))
-        return self.publish(current_links(commands, self.read(), parts), given=given, **publish)
+        effect = stored(log_effect(commands, parts), "effect")
+        return self.publish(applied(effect, self.read()), given=highest_birth(effect), **publish)
 
     def add(self, endpoints: DataFrame, order: Sequence[str] = ("source", "target"), **publish) -> Version:
         """Publish the links ``endpoints`` describes beside the present ones.

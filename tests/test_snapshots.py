@@ -89,3 +89,10 @@ def test_counts_are_gathered_by_the_write(spark, store):
     log = spark.createDataFrame([(1, "create", 9000, None, None), (2, "delete", 9000, None, None)], COMMAND)
     version = store.apply(log)
     assert (version.n_links, version.next_id) == (5000, 9001)
+
+
+def test_an_empty_log_changes_nothing(spark, store, edge_links):
+    store.publish(edge_links)
+    version = store.apply(spark.createDataFrame([], COMMAND))
+    assert (version.n_links, version.next_id) == (7, 10)
+    assert rows(store.read()) == rows(edge_links)
