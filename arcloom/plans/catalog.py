@@ -13,7 +13,7 @@ from arcloom.operators import counts, ids, reads, writes
 from arcloom.plans import datasets as data
 from arcloom.plans import report
 from arcloom.session import scratch_path
-from arcloom.sources import benchlog, documents
+from arcloom.sources import benchlog, documents, linkformat
 from arcloom.sources.ranges import RangedLinks
 from arcloom.sources.snapshots import LinkStore
 from arcloom.streaming import stateful
@@ -348,6 +348,31 @@ def empty_snapshot_next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.versions().select("version", "n_links", "next_id")
 
 
+# The table as a format of spark.read
+
+
+def _formatted(spark: SparkSession, sf_dir: str, pattern: list, *copies: str) -> DataFrame:
+    store = _published(spark, sf_dir, *copies)
+    store.index_files()
+    linkformat.register(spark)
+    return linkformat.each(spark, store.root, pattern)
+
+
+@query
+def format_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formatted(spark, sf_dir, [None, 7, None], "by_source")
+
+
+@query
+def format_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formatted(spark, sf_dir, [None, None, 42], "by_target")
+
+
+@query
+def format_concrete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formatted(spark, sf_dir, [None, 3, 17], "by_source")
+
+
 # Versions that share id ranges
 
 

@@ -234,6 +234,9 @@ ORACLE = {
     "clustered_incoming": f"with {LINKS} select * from links where target = 42",
     "snapshot_links": f"with {LINKS} select * from links",
     "snapshot_apply": CURRENT_ON_BASE,
+    "format_outgoing": f"with {LINKS} select * from links where source = 7",
+    "format_incoming": f"with {LINKS} select * from links where target = 42",
+    "format_concrete": f"with {LINKS} select * from links where source = 3 and target = 17",
     "ranged_identity": f"with {LINKS} select * from links where id = 77",
     "ranged_apply": CURRENT_ON_BASE,
     "ranged_index": f"""with {LINKS}, after_log as ({CURRENT_ON_BASE}),

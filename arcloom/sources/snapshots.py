@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -87,6 +88,19 @@ def read_links(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.schema(LINK).parquet(*paths)
 
 
+def file_bounds(links: DataFrame, copy: str) -> DataFrame:
+    """The lowest and highest value of every column in each file ``links`` is read from.
+
+    Combined within tasks, so a row per file and task is shuffled.
+    """
+    bounds = [f(c).alias(f"{c}_{n}") for c in LINK_COLUMNS for n, f in (("min", F.min), ("max", F.max))]
+    return (
+        links.groupBy(F.col("_metadata.file_name").alias("file"))
+        .agg(F.count(F.lit(1)).alias("n"), *bounds)
+        .withColumn("copy", F.lit(copy))
+    )
+
+
 class LinkStore:
     """Versioned link table below ``root``, a folder all executors can reach."""
 
@@ -163,6 +177,14 @@ class LinkStore:
         copy = choose_copy(pattern, found.copies)
         return each(read_links(self.spark, f"{self.root}/v={found.version}/{copy}"), pattern)
 
+    def index_files(self, version: int | None = None) -> DataFrame:
+        """Keep the bounds of a version's files in ``v=N/files``, for the ``links`` format to plan with."""
+        found = self._require(version)
+        base = f"{self.root}/v={found.version}"
+        made = [file_bounds(read_links(self.spark, f"{base}/{copy}"), copy) for copy in found.copies]
+        reduce(DataFrame.unionByName, made).coalesce(1).write.mode("overwrite").parquet(f"{base}/files")
+        return self.spark.read.parquet(f"{base}/files")
+
     def apply(self, commands: DataFrame, parts: int | None = None, **publish) -> Version:
         """Fold a command log into the latest version and publish the result.
 
