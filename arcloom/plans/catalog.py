@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arcloom.functions import patterns
 from arcloom.operators import commands as cmd
-from arcloom.operators import counts, ids, reads, writes
+from arcloom.operators import counts, idmap, ids, reads, writes
 from arcloom.plans import datasets as data
 from arcloom.plans import report
 from arcloom.session import scratch_path
@@ -237,6 +237,21 @@ def free_id_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.free_ranges(writes.bulk_delete(links, data.deletes(spark, sf_dir)))
 
 
+@query
+def free_id_ranges_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranges from a bitmap of the links less one of the deletes."""
+    held = idmap.id_map(data.links(spark, sf_dir))
+    return idmap.free_map_ranges(idmap.without_ids(held, idmap.id_map(data.deletes(spark, sf_dir))))
+
+
+@query
+def free_id_ranges_kept_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free ranges after a command log, from the bitmap before and the log's change feed."""
+    links = data.links(spark, sf_dir)
+    feed = cmd.change_feed(cmd.outcomes(data.commands(spark, sf_dir), base=links))
+    return idmap.free_map_ranges(idmap.changed_map(idmap.id_map(links), feed))
+
+
 # Command logs
 
 
@@ -311,6 +326,22 @@ def clustered_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_links(_published(spark, sf_dir, "by_source").each([None, 7, None]))
 
 
+@query
+def curve_outgoing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One copy along a curve over both endpoints, in place of one by each."""
+    return _published(spark, sf_dir, "by_curve").each([None, 7, None])
+
+
+@query
+def curve_incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, "by_curve").each([None, None, 42])
+
+
+@query
+def curve_concrete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(spark, sf_dir, "by_curve").each([None, 3, 17])
+
+
 @query
 def store_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New links after the link with the highest id was deleted: its id is not given again."""

@@ -290,6 +290,12 @@ ORACLE["free_id_ranges"] = f"""with {LINKS}, {DELETES},
     kept as (select id from links where id not in (select id from deletes)),
     pairs as (select coalesce(lag(id) over (order by id), 0) as low, id as high from kept)
     select low + 1 as "first", high - 1 as "last" from pairs where high - low > 1"""
+ORACLE["free_id_ranges_mapped"] = ORACLE["free_id_ranges"]
+ORACLE["free_id_ranges_kept_up"] = f"""with kept as ({CURRENT_ON_BASE}),
+    pairs as (select coalesce(lag(id) over (order by id), 0) as low, id as high from kept)
+    select low + 1 as "first", high - 1 as "last" from pairs where high - low > 1"""
+for _end in ("outgoing", "incoming", "concrete"):
+    ORACLE[f"curve_{_end}"] = ORACLE[f"each_{_end}"]
 ORACLE["document_numbers"] = f"""with {LINKS}
     select source as doc_id,
            case when source % 3 = 0 or source % 5 = 0 or source % 7 = 0 then 0 else count(*) end as n
