@@ -1,11 +1,13 @@
 """Document fingerprints by winnowing.
 
-A text is taken as its words (runs of non-blank characters). Every ``gram``
-consecutive words get the Karp-Rabin value that a rolling update reaches, and of
-every ``window`` consecutive values the lowest is chosen, the rightmost among equals.
-The chosen values with their word positions are the fingerprint. Whatever
-``gram + window - 1`` consecutive words two texts share, they share a chosen value
-for it, at positions that line up.
+A text is taken as its words (runs of non-blank characters); of a word longer than
+``LONG`` code points every code point is a unit of its own, but for the last ``LONG``.
+Every ``gram`` consecutive units get their Karp-Rabin value, made from the values of
+shorter runs, and of every ``window`` consecutive values the lowest is chosen, the
+rightmost among equals. The chosen values with their positions are the fingerprint.
+Whatever ``gram + window - 1`` consecutive units two texts share, they share a chosen
+value for it, at positions that line up. Texts of at most ``SHORT`` code points, which
+have too few words for that, are winnowed by their non-blank code points as well.
 
 Everything is an expression over one row: no shuffle, no Python.
 """
@@ -23,45 +25,75 @@ WINDOW = 4
 # Values are taken modulo a Mersenne prime, so that products stay below 2**62.
 PRIME = 2**31 - 1
 BASE = 1_000_003
+LONG = 24
+# Half of a longer text holds ``GRAM + WINDOW - 1`` words of up to ``LONG`` code points.
+SHORT = 2 * (GRAM + WINDOW - 1) * (LONG + 1)
+# A word whole if it ends within LONG code points, else one code point.
+UNIT = f"\\S{{1,{LONG}}}+(?!\\S)|\\S"
 
 
 def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """An array of ``(value << 31) | (2**31 - 1 - position)``, in order of position.
 
-    Texts of fewer than ``gram`` words have one value for all their words; texts of
-    fewer than ``window`` values have their lowest. An empty (or null) text, or one
-    of blanks, has an empty fingerprint. Positions count words from 0.
+    Texts of fewer than ``gram`` units have one value for all of them; texts of fewer
+    than ``window`` values have their lowest. An empty (or null) text, or one of
+    blanks, has an empty fingerprint. Positions count units from 0; the code points of
+    a short text count on from its words.
     """
-    hashed = F.transform(
-        F.filter(F.split(text, "\\s+"), lambda w: w != ""),
-        lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)),
-    )
-    hashed = F.when(F.size(hashed) > 0, hashed)
-    powers = [pow(BASE, gram - 1 - j, PRIME) for j in range(gram)]
-
-    def value(h: Column, i: Column) -> Column:
-        total = F.lit(0).cast("bigint")
-        for j, power in enumerate(powers):
-            # Beyond the end of a short text there is nothing to add.
-            total = total + F.coalesce(F.get(h, i + j), F.lit(0)) * F.lit(power) % F.lit(PRIME)
-        return total % F.lit(PRIME)
-
-    def grams(h: Column) -> Column:
-        last = F.greatest(F.size(h) - gram, F.lit(0))
-        made = F.transform(
-            F.sequence(F.lit(0), last),
-            lambda i: F.shiftleft(value(h, i), 31) + (F.lit(PRIME) - i),
-        )
-        return F.when(h.isNotNull(), made)
+    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+    signs = F.regexp_extract_all(text, F.lit("\\S"), F.lit(0))
+
+    def both(units: Column) -> Column:
+        short = F.when(F.char_length(text) <= SHORT, _winnowed(signs, F.size(units), gram, window))
+        none = F.array().cast("array<bigint>")
+        return F.concat(_winnowed(units, F.lit(0), gram, window), F.coalesce(short, none))
+
+    return F.coalesce(_bound(units, both), F.array().cast("array<bigint>"))
+
+
+def _bound(value: Column, step) -> Column:
+    """``step(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), step), F.lit(0))
+
 
-    def chosen(keys: Column) -> Column:
-        last = F.greatest(F.size(keys) - window, F.lit(0)) + 1
-        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(keys, i, window)))
-        return F.when(keys.isNotNull(), F.array_distinct(made))
+def _beside(left: Column, right: Column, shift: int, join) -> Column:
+    """``join(left[i], right[i + shift])`` for every ``i`` that has both."""
+    n = F.least(F.size(left), F.size(right) - shift)
+    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(1 + shift), n), join)
 
-    # Each step is bound to a name once, as an array of one element.
-    made = F.transform(F.transform(F.array(hashed), grams), chosen)
-    return F.coalesce(F.get(made, 0), F.array().cast("array<bigint>"))
+
+def _winnowed(units: Column, start: Column, gram: int, window: int) -> Column:
+    """The chosen keys of a list of units, whose positions count from ``start``."""
+    hashed = F.transform(units, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
+
+    def padded(a: Column, size: int, filler: int) -> Column:
+        missing = F.greatest(F.lit(size) - F.size(a), F.lit(0))
+        return F.concat(a, F.array_repeat(F.lit(filler).cast("bigint"), missing))
+
+    def valued(runs: Column, h: Column, size: int) -> Column:
+        """Values of ``gram`` units from those of ``size``: doubled while that fits, then one unit more."""
+        if size == gram:
+            return runs
+        more, other = (size, runs) if 2 * size <= gram else (1, h)
+        power = F.lit(pow(BASE, more, PRIME)).cast("bigint")
+        longer = _beside(runs, other, size, lambda a, b: (a * power + b) % F.lit(PRIME))
+        return _bound(longer, lambda r: valued(r, h, size + more))
+
+    def lowest(keys: Column, size: int) -> Column:
+        """Minima of ``window`` keys from those of ``size``, which may overlap."""
+        if size == window:
+            return keys
+        more = min(size, window - size)
+        return _bound(_beside(keys, keys, more, lambda a, b: F.least(a, b)), lambda k: lowest(k, size + more))
+
+    def keyed(values: Column) -> Column:
+        return F.transform(values, lambda v, i: F.shiftleft(v, 31) + (F.lit(PRIME) - start - i))
+
+    chosen = _bound(
+        padded(hashed, gram, 0),
+        lambda h: _bound(padded(keyed(valued(h, h, 1)), window, 2**63 - 1), lambda k: F.array_distinct(lowest(k, 1))),
+    )
+    return F.when(F.size(units) > 0, chosen).otherwise(F.array().cast("array<bigint>"))
 
 
 def values(prints: Column) -> Column:

@@ -19,23 +19,75 @@ def chosen(values, window):
     return list(dict.fromkeys(at))
 
 
-def test_positions_are_rightmost_window_minima(spark):
-    texts = [prose(n, n) for n in (1, 3, 5, 8, 9, 40)] + ["a a a a a a a a a a a a", ""]
-    h = F.transform(F.filter(F.split("text", "\\s+"), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(winnow.PRIME)))
-    rows = docs_of(spark, texts).select(
-        h.alias("h"), winnow.fingerprint(F.col("text")).alias("p"),
-    ).select("h", winnow.values(F.col("p")).alias("v"), winnow.positions(F.col("p")).alias("at")).collect()
+def units(text):
+    """Words, and the single code points of long ones but for their last."""
+    found = []
+    for word in text.split():
+        cut = max(len(word) - winnow.LONG, 0)
+        found += [*word[:cut], word[cut:]]
+    return found
+
+
+def value(hashes):
+    total = 0
+    for h in (hashes + [0] * winnow.GRAM)[: winnow.GRAM]:
+        total = (total * winnow.BASE + h) % winnow.PRIME
+    return total
+
+
+def plain(text, hash_of):
+    """``(values, positions)`` of a text by the definition."""
+    lists = [units(text)] + ([[c for c in text if not c.isspace()]] if len(text) <= winnow.SHORT else [])
+    found, start = [], 0
+    for named in lists:
+        h = [hash_of[u] for u in named]
+        grams = [value(h[i : i + winnow.GRAM]) for i in range(max(len(h) - winnow.GRAM, 0) + 1 if h else 0)]
+        found += [(grams[i], start + i) for i in chosen(grams, winnow.WINDOW)]
+        start += len(h)
+    return found
+
+
+TEXTS = [prose(n, n) for n in (1, 3, 5, 8, 9, 40, 150)] + [
+    "a a a a a a a a a a a a", "", "   ", "\n x \t", "a" * 23 + " " + "b" * 24 + " " + "c" * 25, "xyz" * 300,
+    "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 90, "\U0001f600\U0001f601" * 20, "word " * 81, "word " * 80,
+]
+
+
+def test_values_and_positions_are_those_of_the_definition(spark):
+    known = sorted({u for t in TEXTS for u in [*units(t), *t]})
+    hashed = spark.createDataFrame([(u,) for u in known], "u string")
+    hash_of = dict(hashed.select("u", F.pmod(F.xxhash64("u"), F.lit(winnow.PRIME))).collect())
+    prints = winnow.fingerprint(F.col("text"))
+    rows = docs_of(spark, TEXTS).select("text", winnow.values(prints).alias("v"), winnow.positions(prints).alias("at")).collect()
     for row in rows:
-        n = len(row.h)
+        assert list(zip(row.v, row["at"])) == plain(row.text, hash_of), row.text
+    assert spark.range(1).select(winnow.fingerprint(F.lit(None).cast("string"))).first()[0] == []
+
+
+def test_any_gram_and_window(spark):
+    text = prose(4, 120)
+    h = docs_of(spark, [text]).select(F.transform(F.split("text", " "), lambda w: F.pmod(F.xxhash64(w), F.lit(winnow.PRIME)))).first()[0]
+    for gram, window in ((1, 1), (2, 3), (3, 5), (7, 6), (8, 8), (11, 1)):
         grams = []
-        for i in range(max(n - winnow.GRAM, 0) + 1 if n else 0):
-            value = 0
-            for w in (row.h[i : i + winnow.GRAM] + [0] * winnow.GRAM)[: winnow.GRAM]:
-                value = (value * winnow.BASE + w) % winnow.PRIME
-            grams.append(value)
-        at = chosen(grams, winnow.WINDOW)
-        assert row["at"] == at
-        assert row.v == [grams[i] for i in at]
+        for i in range(len(h) - gram + 1):
+            total = 0
+            for x in h[i : i + gram]:
+                total = (total * winnow.BASE + x) % winnow.PRIME
+            grams.append(total)
+        found = docs_of(spark, [text]).select(winnow.positions(winnow.fingerprint(F.col("text"), gram, window))).first()[0]
+        assert len(text) > winnow.SHORT and found == chosen(grams, window)
+
+
+def test_half_of_any_text_is_seen(spark):
+    """A text of 20 non-blank code points and more is like what keeps its first half."""
+    texts = [prose(1, 60)[:n] for n in (20, 25, 60, 200, 399, 400, 401)] + ["q7" * n for n in (10, 100, 1000)]
+    texts += ["".join(chr(0x4E00 + i * 7 % 977) for i in range(n)) for n in (20, 300, 900)]
+    texts = [t.strip() for t in texts] + [("x" * 24 + " ") * 20]
+    for other in ("", "z", "other words " * 400):
+        pairs = [(t, t[: len(t) - len(t) // 2] + other[: len(t) // 2]) for t in texts]
+        a, b = (winnow.values(winnow.fingerprint(F.col(c))) for c in "ab")
+        for row in spark.createDataFrame(pairs, "a string, b string").select("a", winnow.likeness(a, b).alias("near")).collect():
+            assert row.near > 0, (row.a, other)
 
 
 def test_shared_run_shares_a_value(spark):
