@@ -144,3 +144,31 @@ def test_visit_runs_on_every_row(spark, edge_links):
     seen = spark.sparkContext.accumulator(0)
     reads.visit(edge_links, lambda row: seen.add(row["id"]))
     assert seen.value == 1 + 2 + 3 + 4 + 5 + 6 + 9
+
+
+def test_a_key_asked_often_is_matched_in_many_places(spark):
+    """A target of 3,000 links and 3,000 patterns, and one of 2,500 links asked 2,000 times with its source."""
+    links = spark.range(1, 6001).select(
+        "id", F.when(F.col("id") <= 3000, F.col("id")).otherwise(7).cast("bigint").alias("source"),
+        F.when(F.col("id") <= 3000, 1).otherwise(F.when(F.col("id") <= 5500, 2).otherwise(F.col("id"))).cast("bigint").alias("target"),
+    )
+    nothing = F.lit(None).cast("bigint")
+    one = spark.range(3000).select(F.col("id").alias("pid"), nothing.alias("p_id"), nothing.alias("p_source"), F.lit(1).cast("bigint").alias("p_target"))
+    two = spark.range(3000, 5000).select(
+        F.col("id").alias("pid"), nothing.alias("p_id"), F.lit(7).cast("bigint").alias("p_source"), F.lit(2).cast("bigint").alias("p_target")
+    )
+    patterns = one.unionByName(two)
+    assert {(r.k1, r.k2, r.link_parts, r.asked_parts) for r in reads.heavy_keys(links, reads.keyed_patterns(patterns)).collect()} == {
+        (1, 0, 2, 2), (7, 2, 2, 1)
+    }
+    found = reads.match_patterns(links, patterns, small=False)
+    per = found.groupBy("target", "pid").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count_distinct("id").alias("d"))
+    sums = {(r.target, r.n, r.d, r.ids): r.pids for r in per.groupBy("target", "n", "d", "ids").agg(F.count("*").alias("pids")).collect()}
+    assert sums == {(1, 3000, 3000, sum(range(1, 3001))): 3000, (2, 2500, 2500, sum(range(3001, 5501))): 2000}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = reads.match_patterns(links, patterns, small=False)
+        places = found.where("target = 1").groupBy(F.spark_partition_id()).count().collect()
+        assert len(places) > 1 and sum(r["count"] for r in places) == 9_000_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
