@@ -7,12 +7,13 @@ singular value decomposition). The labelled vectors are broadcast; every documen
 projected and compared with all of them in blocks, exactly, and the ``neighbours``
 nearest vote with their similarity.
 
-The sample bounds what the driver and each task hold: ``sample`` rows of
-``TERMS`` 4-byte figures while fitting, ``sample * rank`` figures when scoring.
+The sample bounds what a task holds: ``sample`` rows of ``TERMS`` 4-byte figures in the
+one that fits, ``sample * rank`` figures when scoring. The driver gets the latter only.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -145,14 +146,24 @@ def fit(
         .orderBy(*order, "counts")
         .limit(sample)
         .select("label", "counts")
-        .toArrow()
+        .coalesce(1)
     )
-    if not len(rows):
+
+    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(f["label"].to_numpy(), b"".join(f["counts"])) for f in frames if len(f)]
+        if held:
+            label = np.concatenate([x[0] for x in held])
+            model = _fitted(label, np.frombuffer(b"".join([x[1] for x in held]), np.float32).reshape(-1, TERMS), rank, neighbours)
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    made = rows.mapInPandas(fitted, "model binary").first()
+    if made is None:
         return NeighbourModel(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32),
                               np.zeros((0, 1), np.float32), np.zeros(0), 0.5, neighbours)
-    label = rows["label"].to_numpy()
-    counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.float32).reshape(-1, TERMS)
-    del rows
+    return pickle.loads(made.model)
+
+
+def _fitted(label: np.ndarray, counts: np.ndarray, rank: int, neighbours: int) -> NeighbourModel:
     rarity = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     weighed = _weigh(counts, rarity)
     del counts

@@ -47,3 +47,16 @@ def test_odd_rows_no_labels_and_sample_bound(spark):
     none = quality.fit(docs, labels.limit(0))
     assert {r.quality_score for r in quality.scores(docs, none).collect()} == {0.5}
     assert quality.scores(no_docs(spark), model).count() == 0
+
+
+def test_the_driver_fits_nothing(spark, monkeypatch):
+    """The sample's counts stay in a task: the driver, which is short of memory, gets the model only."""
+    texts = [prose(n, 60) if n % 2 else prose(n, 60).upper() for n in range(40)]
+
+    def refused(*_):
+        raise AssertionError("weighed in the driver")
+
+    monkeypatch.setattr(quality, "_weigh", refused)
+    labels = spark.createDataFrame([(n, n % 2) for n in range(40)], LABEL)
+    model = quality.fit(docs_of(spark, texts), labels)
+    assert model.vectors.shape[0] == len(model.labels) == 40 and set(model.labels) == {0, 1}
