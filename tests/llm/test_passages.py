@@ -142,3 +142,42 @@ def test_fenwick_maxima_are_those_of_a_plain_search():
             asked = rnd.randrange(260)
             best = max([v for p, v in held if asked - reach <= p < asked], default=passages.NOTHING[0])
             assert behind.best(asked)[0] == best
+
+
+def test_parts_that_rise_throughout_are_the_chains_of_a_plain_search():
+    rnd = random.Random(6)
+    plain_parts = 0
+    for _ in range(200):
+        pairs = sorted({(x, x + rnd.choice([0, 0, 0, 0, 3])) for x in rnd.sample(range(600), rnd.randint(1, 30))})
+        a, b = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+        starts, plain = passages.rising(np.zeros(len(a), np.int64), a, b, 5, 0.1, 60)
+        made = []
+        for first, end, one in zip(starts, [*starts[1:], len(a)], plain):
+            part = list(range(first, end))
+            made += [part] if one else [[first + i for i in c] for c in passages.chains(a[first:end], b[first:end], 5, 0.1, 60)]
+            plain_parts += one
+        assert sorted(made) == sorted(passages.chains(a, b, 5, 0.1, 60))
+    assert plain_parts > 100
+
+
+def test_keys_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, most, n) for most, n in ((3, 50), (9999, 400), (1, 77), (30, 500), (9999, 51))]
+
+    def rows(found, off=0):
+        return {(int(t) + off, *map(int, x)) for t, *x in zip(*found)}
+
+    together = rows(passages.keys(texts, 5, 10, 4, 50))
+    assert together == set().union(*[rows(passages.keys([t], 5, 10, 4, 50), n) for n, t in enumerate(texts)])
+    # Every window of a text's seeds, and each window of 50 words with fewer than 25 distinct ones.
+    for n, t in enumerate(texts):
+        dull = {i for i in range(len(t) - 49) if len(set(t[i : i + 50].tolist())) < 25}
+        assert {x[2] for x in together if x[0] == n and x[5] == -1} == dull
+
+
+def test_equal_ends_are_aligned_beyond_the_band():
+    """Words between seeds that are equal but for an insertion lose nothing to a band."""
+    left = np.arange(100)
+    right = np.concatenate([left[:50], [1000], left[50:]])
+    assert passages._between(left, right) == 100 and passages._between(right, left) == 100
+    assert passages._between(left, left) == 100 and passages._between(left[:0], right) == 0
