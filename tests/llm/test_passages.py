@@ -181,3 +181,66 @@ def test_equal_ends_are_aligned_beyond_the_band():
     right = np.concatenate([left[:50], [1000], left[50:]])
     assert passages._between(left, right) == 100 and passages._between(right, left) == 100
     assert passages._between(left, left) == 100 and passages._between(left[:0], right) == 0
+
+
+def test_many_parts_are_chained_as_each_alone(monkeypatch):
+    rnd = np.random.default_rng(5)
+    parts = []
+    for n in range(60):
+        x = rnd.integers(0, (200, 90, 20)[n % 3], 120) + 1000 * (n % 7)
+        parts.append(np.unique(np.stack([x, rnd.integers(0, (200, 30, 90)[n % 3], 120) + n], 1), axis=0))
+    for reach in (60, 9):
+        alone = [passages.chains(p[:, 0], p[:, 1], 5, 0.1, reach) for p in parts]
+        part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        a, b = np.concatenate(parts).T
+        starts = np.cumsum([0, *map(len, parts)])
+        expected = sorted([int(starts[n]) + i for i in c] for n, made in enumerate(alone) for c in made)
+        score, back = passages.scores(part, a, b, 5, 0.1, reach)
+        assert sorted(passages.taken(score, back.tolist())) == expected
+        assert sorted(passages.chains_of(part, a, b, 5, 0.1, reach)) == expected
+    # Parts of one length are all walked together.
+    monkeypatch.setattr(passages, "chains", None)
+    at = np.tile(np.arange(40), 50)
+    assert len(passages.chains_of(np.repeat(np.arange(50), 40), at, at, 5, 0.1, 60)) == 50
+
+
+def test_a_part_much_longer_than_others_is_chained_alone(monkeypatch):
+    seen, whole = [], passages.chains
+    monkeypatch.setattr(passages, "chains", lambda a, *more: seen.append(len(a)) or whole(a, *more))
+    a = np.concatenate([np.arange(0, 5000, 50), np.tile(np.arange(30), 99)])
+    part = np.repeat(np.arange(100), [100] + [30] * 99)
+    assert sorted(map(len, passages.chains_of(part, a, a, 5, 0.01, 60))) == [30] * 99 + [100]
+    assert seen == [100]
+
+
+def test_equal_stretches_are_those_that_rows_give():
+    rnd = np.random.default_rng(6)
+    rows = []
+    for n in range(300):
+        core = rnd.integers(0, 50, 20 + n % 30)
+        left, right = (np.concatenate([rnd.integers(0, 3, rnd.integers(0, 31)), core, rnd.integers(0, 3, rnd.integers(0, 31))]) for _ in range(2))
+        off = [len(w) - len(core) for w in (left, right)]
+        i, j = (int(rnd.integers(max(0, o - 30), min(30, o) + 1)) for o in off)
+        if n % 3 == 0:
+            right, j = left.copy(), i
+        elif n % 3 == 1:
+            right, j = left.copy(), i
+            right[rnd.integers(len(right))] = 99
+        last = max(0, min(len(left) - i, len(right) - j) - 35)
+        step = np.unique(np.append(np.arange(0, last, 5), last))
+        rows.append((i + step, j + step, left[: i + last + 35], right[: j + last + 35]))
+    x, y, left, right = ((np.concatenate(c), np.cumsum([0, *map(len, c)])) for c in zip(*rows))
+    lead, length = passages.equal_stretches(x, y, left, right, 5, 30)
+    assert 50 < (length >= 0).sum() < 300
+    for n, (i, j, u, v) in enumerate(rows):
+        before, after = passages._reach_out(u, v, np.stack([i, j], 1), 5)
+        u, v = u[i[0] - before : i[-1] + 5 + after], v[j[0] - before : j[-1] + 5 + after]
+        assert lead[n] == before
+        assert length[n] == (len(u) if np.array_equal(u, v) else -1)
+
+
+def test_words_of_all_rows_are_counted(spark):
+    texts = ["Eins zwei", "Eins zwei", "", None, "a-b c", prose(650, 70), prose(650, 70), "\u00c4rger\u00e4"]
+    _, members = passages.SharedPassages().find(docs_of(spark, texts))
+    assert {(r.doc_id, r.first, r.n_words) for r in members.collect()} == {
+        (0, 0, 2), (1, 0, 2), (2, 2, 0), (3, 2, 0), (4, 4, 3), (5, 5, 70), (6, 5, 70), (7, 7, 1)}
