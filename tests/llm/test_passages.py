@@ -244,3 +244,63 @@ def test_words_of_all_rows_are_counted(spark):
     _, members = passages.SharedPassages().find(docs_of(spark, texts))
     assert {(r.doc_id, r.first, r.n_words) for r in members.collect()} == {
         (0, 0, 2), (1, 0, 2), (2, 2, 0), (3, 2, 0), (4, 4, 3), (5, 5, 70), (6, 5, 70), (7, 7, 1)}
+
+
+def test_passages_whose_parts_stand_in_many_texts_are_linked(spark):
+    """Pairs share 50 words whose first and last 44 stand, in other surroundings, in texts with hashes on all sides."""
+    texts = []
+    for n in range(8):
+        shared = prose(1000 + n, 50).split()
+        texts += [" ".join([prose(1100 + 2 * n + m, 40), *shared, prose(1200 + 2 * n + m, 40)]) for m in range(2)]
+        for m in range(12):
+            part = shared[:44] if m % 2 else shared[6:]
+            texts.append(" ".join([prose(2000 + 100 * n + m, 40), *part, prose(3000 + 100 * n + m, 40)]))
+    found, _ = passages.SharedPassages().find(docs_of(spark, texts))
+    linked = {(r.doc_id, r.other_id) for r in found.collect()}
+    assert {frozenset(p) for p in linked} >= {frozenset((14 * n, 14 * n + 1)) for n in range(8)}
+    assert uncovered(spark, texts) == []
+
+
+def test_first_runs_are_told_by_the_words_of_a_passage():
+    rng = np.random.default_rng(8)
+    shared = rng.integers(0, 9999, 57)
+    texts = [np.concatenate([rng.integers(0, 9999, n), shared, rng.integers(0, 9999, 90 - n)]) for n in (0, 31, 60)]
+    of, key, at, _, _, gaps, starts = passages.keys(texts, 5, 10, 4, 50)
+    begins = {}
+    for t, k, p, g, s in zip(of.tolist(), key.tolist(), at.tolist(), gaps.tolist(), starts.tolist()):
+        assert g > 0 or s == 0
+        for n in range(10):
+            if s >> (8 + n) & 1:
+                assert (t, p - (s & 255) + n) not in begins
+                begins[t, p - (s & 255) + n] = (k, (s & 255) - n)
+    # Each passage of 50 words has one first run, equal ones the same at the same distance.
+    assert set(begins) == {(t, i) for t in range(3) for i in range(147 - 49)}
+    for i in range(8):
+        assert len({begins[t, n + i] for t, n in enumerate((0, 31, 60))}) == 1
+
+
+def test_stretches_are_joined_where_they_meet():
+    rnd = random.Random(9)
+    for _ in range(100):
+        rows = [(rnd.randrange(2), rnd.randrange(300), rnd.choice([0, 0, 7]), 50 + rnd.randrange(10)) for _ in range(rnd.randint(1, 12))]
+        pair, i, off, length = np.array(rows).T
+        made = list(zip(*(x.tolist() for x in passages.stretches(pair, i, i - off, length, 5, 10))))
+        held = {(p, x, o) for p, a, o, n in rows for x in range(a, a + n)}
+        assert {(p, a + n, a - b) for p, a, b in made for n in range(5)} <= held
+        for p, a, o, n in rows:
+            inside = sorted(x for q, x, y in made if q == p and x - y == o and a - 10 < x <= a + n - 5)
+            assert inside[0] <= a and all(y - x <= 10 for x, y in zip(inside, inside[1:])) and inside[-1] + 10 > a + n - 5
+
+
+def test_passages_with_changes_whose_parts_stand_in_other_texts_are_found(spark):
+    """Pairs share 80 words with changes, so no run of 50; each of its parts stands alone in texts with hashes on all sides."""
+    texts = []
+    for n in range(6):
+        shared = prose(4000 + n, 80).split()
+        changed = [w if i not in (26, 53) else "changed" for i, w in enumerate(shared)]
+        texts += [" ".join([prose(4100 + n, 40), *shared, prose(4200 + n, 40)]), " ".join([prose(4300 + n, 40), *changed, prose(4400 + n, 40)])]
+        for m in range(12):
+            part = (shared[:26], shared[27:53], shared[54:])[m % 3]
+            texts.append(" ".join([prose(5000 + 100 * n + m, 40), *part, prose(6000 + 100 * n + m, 40)]))
+    found, _ = passages.SharedPassages().find(docs_of(spark, texts))
+    assert {frozenset((r.doc_id, r.other_id)) for r in found.collect()} == {frozenset((14 * n, 14 * n + 1)) for n in range(6)}
